@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.words import words
-from mnemoframe.runtime import GROUP_CAP, blocked, checkpointed, over_groups
+from mnemoframe.runtime import GROUP_CAP, blocked, checkpointed, components, over_groups
 
 THRESHOLD = 0.7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
@@ -212,3 +212,14 @@ def alike_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
     both = across.unionByName(within).filter("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def alike_groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, grp, n_links): each id with the smallest id of its group, groups being closed under links, and the number of classes linked to its own."""
+    links = checkpointed(links.select("a", "b"))
+    every = members.select("cls").distinct()
+    comp = components(links.unionByName(every.select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
+    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+    placed = members.join(comp.withColumnRenamed("id", "c_id"), F.col("cls") == F.col("c_id"))
+    name = placed.groupBy("comp").agg(F.min("id").alias("grp"))
+    return placed.join(name, "comp").join(degree, F.col("cls") == F.col("c"), "left").groupBy("id").agg(F.min("grp").alias("grp"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
