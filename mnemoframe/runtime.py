@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one group that one task may hold at once; larger groups are cut into blocks and compared block by block.
 GROUP_CAP = 4096
+#: Hot keys (16 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +45,11 @@ def blocked(df: DataFrame, key: str, spread: str, cap: int = GROUP_CAP) -> DataF
     to each pair of blocks that holds its own; in a group of two different blocks only pairs across the blocks are to be compared
     (_cross is then true). Nothing is dropped, and no task holds a hot key.
     """
-    hot = hot_keys(df.select(key), key, cap).withColumnRenamed(key, "_hot")
-    out = df.join(hot, F.col(key) == F.col("_hot"), "left").drop("_hot")
+    hot = checkpointed(hot_keys(df.select(key), key, cap).withColumnRenamed(key, "_hot"))
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return df.withColumns({"_block": F.lit(0), "_group": F.xxhash64(F.col(key)), "_cross": F.lit(False)})
+    out = df.join(F.broadcast(hot) if found <= BROADCAST_KEYS else hot, F.col(key) == F.col("_hot"), "left").drop("_hot")
     n = F.coalesce(F.col("_blocks"), F.lit(1))
     out = out.withColumn("_block", F.pmod(F.xxhash64(F.col(spread)), n).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
