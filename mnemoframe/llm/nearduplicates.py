@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits.
 
 Texts with the same set of words form a class and only one of each is compared. Candidates come from an exact prefix filter: two sets
-that are alike enough share at least three words among the first few of a fixed order that puts rare words first. Candidates are
+that are alike enough share at least two words among the first few of a fixed order that puts rare words first. Candidates are
 pruned the Bayesian way: MinHash values are compared some at a time, and a pair is dropped once the posterior probability that it
 reaches the threshold is below a tolerance. What is left is verified exactly.
 """
@@ -29,11 +29,11 @@ TOLERANCE = 1e-5
 #: MinHash values of one byte each, compared STEP at a time.
 HASHES, STEP = 24, 8
 #: Words that the prefixes of two alike sets must share; the prefix is longer by as much.
-SHARED = 3
+SHARED = 2
 #: Words that may count as frequent, and so be broadcast with their rank: 2**20 of 12 bytes are 12 MB.
 FREQUENT_WORDS = 1 << 20
 #: A word found in fewer records than this is never called frequent.
-RARE = 32
+RARE = 512
 _MARK = re.compile(r"\[([^\[\]]*?)::[^\[\]]*\]")
 
 
