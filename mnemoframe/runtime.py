@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,13 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one of this machine only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if spark not in _TEMPORARY:
+        _TEMPORARY[spark] = tempfile.mkdtemp(prefix="mnemoframe-")
+    return "file://" + _TEMPORARY[spark]
+
+
+_TEMPORARY: dict[SparkSession, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "mnemoframe-checkpoints"))
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    An RDD checkpoint would compute everything twice and store whole rows; a table is written once, by column, and read by column.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/mnemoframe-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all that checkpointed() wrote; nothing lazy that rests on it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/mnemoframe-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
