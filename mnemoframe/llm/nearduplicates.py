@@ -3,7 +3,7 @@
 Texts with the same set of words form a class and only one of each is compared. Candidates come from an exact prefix filter: two sets
 that are alike enough share at least two words among the first few of a fixed order that puts rare words first. Candidates are
 pruned the Bayesian way: MinHash values are compared some at a time, and a pair is dropped once the posterior probability that it
-reaches the threshold is below a tolerance. What is left is verified exactly.
+reaches the threshold is below a tolerance. What is left is verified exactly, first by a bound on the words not shared, then by the words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ THRESHOLD = 0.7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 TOLERANCE = 1e-5
 #: MinHash values of one byte each, compared STEP at a time.
-HASHES, STEP = 24, 8
+HASHES, STEP = 16, 4
+#: Bits of the parity map, by which the words that two sets do not share are bounded from below.
+BITS = 128
 #: Words that the prefixes of two alike sets must share; the prefix is longer by as much.
 SHARED = 2
 #: Words that may count as frequent, and so be broadcast with their rank: 2**20 of 12 bytes are 12 MB.
@@ -62,6 +64,12 @@ def minhash(hashes: np.ndarray) -> bytes:
     return image.min(axis=0).astype(np.uint8).tobytes()
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """BITS bits, each telling whether an odd number of the words falls on it: two sets differ in at least as many words as their maps in bits."""
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 @lru_cache(maxsize=8)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[int, ...]:
     """For STEP, 2*STEP, ... compared values the least number of matches that is not pruned.
@@ -118,7 +126,7 @@ def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndar
                 common = np.sort(w[order[place[order] >= 0]])
                 keys = w[rare].tolist()
                 keys += [xxhash.xxh3_64_intdigest(np.array(t, np.int64).tobytes()) - 2**63 for t in itertools.combinations(common.tolist(), SHARED)]
-                m = minhash(w)
+                m = minhash(w) + parity_map(w)
                 key += keys
                 cls += [c] * len(keys)
                 size += [n] * len(keys)
@@ -156,7 +164,8 @@ def _prune(threshold: float, tolerance: float):
         more = sizes > 1
         n, cls = rows["n"].to_numpy(), rows["cls"].to_numpy()
         key, block, cross = rows["key"].to_numpy(), rows["_block"].to_numpy(), rows["_cross"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, HASHES + BITS // 8)
+        maps = np.ascontiguousarray(sig[:, HASHES:]).view(np.uint64)
         found = []
         for i, j in _pairs_within(starts[more], sizes[more]):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -168,6 +177,10 @@ def _prune(threshold: float, tolerance: float):
                 matches = matches + (sig[i, part] == sig[j, part]).sum(axis=1, dtype=np.int16)
                 ok = matches >= limit
                 i, j, matches = i[ok], j[ok], matches[ok]
+            # the first half of verifying: alike sets of sizes x and y differ in at most (x+y)(1-t)/(1+t) words
+            differ = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1)
+            ok = differ <= (n[i] + n[j]) * (1 - threshold) / (1 + threshold) + 1e-9
+            i, j = i[ok], j[ok]
             if len(i):
                 found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -185,7 +198,7 @@ def alike(facts: DataFrame, id_col: str = "id", text_col: str = "text", threshol
     are compared block by block. A true pair is lost with a probability of about the tolerance.
     """
     members = checkpointed(_classes(facts, id_col, text_col))
-    reps = members.groupBy("cls").agg(F.first("words").alias("words"))
+    reps = checkpointed(members.groupBy("cls").agg(F.first("words").alias("words")))
     counts = reps.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > RARE)
     counts = checkpointed(counts)
     total = counts.agg(F.sum("df")).first()[0] or 0
@@ -196,8 +209,7 @@ def alike(facts: DataFrame, id_col: str = "id", text_col: str = "text", threshol
     order = np.argsort(top["w"].to_numpy(np.int64)) if len(top) else np.empty(0, int)
     keys = _keys(reps, threshold, top["w"].to_numpy(np.int64)[order], rank[order])
     survivors = over_groups(blocked(keys, "key", "cls", GROUP_CAP), "_group", _prune(threshold, tolerance), "a long, b long").distinct()
-    sets = members.select("cls", "words").groupBy("cls").agg(F.first("words").alias("words"))
-    both = survivors.join(sets.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
+    both = survivors.join(reps.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(reps.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     similarity = common / (F.size("wa") + F.size("wb") - common)
     links = both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
