@@ -58,14 +58,15 @@ def hot_keys(df: DataFrame, key: str, cap: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap).select(key, F.ceil(F.col("_n") / cap).cast("int").alias("_blocks"))
 
 
-def blocked(df: DataFrame, key: str, spread: str, cap: int = GROUP_CAP) -> DataFrame:
+def blocked(df: DataFrame, key: str, spread: str, cap: int = GROUP_CAP, counted: DataFrame | None = None) -> DataFrame:
     """Add _group and _block so that every pair of rows with equal key meets in exactly one _group of at most 2*cap rows.
 
     A key with up to cap rows is one group with _block 0. A hot key's rows are dealt to blocks by the hash of spread and every row is sent
     to each pair of blocks that holds its own; in a group of two different blocks only pairs across the blocks are to be compared
-    (_cross is then true). Nothing is dropped, and no task holds a hot key.
+    (_cross is then true). Nothing is dropped, and no task holds a hot key. counted may give the rows to count keys over, if those that
+    can be hot are had cheaper.
     """
-    hot = checkpointed(hot_keys(df.select(key), key, cap).withColumnRenamed(key, "_hot"))
+    hot = checkpointed(hot_keys((df if counted is None else counted).select(key), key, cap).withColumnRenamed(key, "_hot"))
     found = hot.limit(BROADCAST_KEYS + 1).count()
     if not found:
         return df.withColumns({"_block": F.lit(0), "_group": F.xxhash64(F.col(key)), "_cross": F.lit(False)})
