@@ -27,7 +27,7 @@ THRESHOLD = 0.7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 TOLERANCE = 1e-5
 #: MinHash values of one byte each, compared STEP at a time.
-HASHES, STEP = 16, 4
+HASHES, STEP = 16, 8
 #: Bits of the parity map, by which the words that two sets do not share are bounded from below.
 BITS = 128
 #: Words that the prefixes of two alike sets must share; the prefix is longer by as much.
@@ -104,8 +104,8 @@ def _classes(facts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once.mapInPandas(run, "id long, cls long, words array<long>")
 
 
-def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(key, cls, n, sig): the keys under which a set is compared: each rare word of its prefix, and each SHARED frequent ones together."""
+def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndarray, bare: bool = False) -> DataFrame:
+    """(key, cls, n, sig), or (key) of the keys that many sets may share if bare: the keys under which a set is compared: each rare word of its prefix, and each SHARED frequent ones together."""
     held = reps.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,16 +124,21 @@ def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndar
                 order = np.lexsort((w, place))[: n - need + SHARED]
                 rare = order[place[order] < 0]
                 common = np.sort(w[order[place[order] >= 0]])
-                keys = w[rare].tolist()
+                keys = [] if bare else w[rare].tolist()
                 keys += [xxhash.xxh3_64_intdigest(np.array(t, np.int64).tobytes()) - 2**63 for t in itertools.combinations(common.tolist(), SHARED)]
-                m = minhash(w) + parity_map(w)
                 key += keys
+                if bare:
+                    continue
+                m = minhash(w) + parity_map(w)
                 cls += [c] * len(keys)
                 size += [n] * len(keys)
                 sig += [m] * len(keys)
+            if bare:
+                yield pd.DataFrame({"key": np.array(key, np.int64)})
+                continue
             yield pd.DataFrame({"key": np.array(key, np.int64), "cls": np.array(cls, np.int64), "n": np.array(size, np.int32), "sig": sig})
 
-    return reps.select("cls", "words").mapInPandas(run, "key long, cls long, n int, sig binary")
+    return reps.select("cls", "words").mapInPandas(run, "key long" if bare else "key long, cls long, n int, sig binary")
 
 
 def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,6 +159,15 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) ->
         lo = hi
 
 
+def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes of each two words are equal."""
+    d = x ^ y
+    d = (d | (d >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    d = (d | (d >> np.uint64(2))) & np.uint64(0x0303030303030303)
+    d = (d | (d >> np.uint64(1))) & np.uint64(0x0101010101010101)
+    return np.uint8(STEP) - np.bitwise_count(d)
+
+
 def _prune(threshold: float, tolerance: float):
     least = least_matches(threshold, tolerance)
 
@@ -165,20 +179,21 @@ def _prune(threshold: float, tolerance: float):
         n, cls = rows["n"].to_numpy(), rows["cls"].to_numpy()
         key, block, cross = rows["key"].to_numpy(), rows["_block"].to_numpy(), rows["_cross"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, HASHES + BITS // 8)
-        maps = np.ascontiguousarray(sig[:, HASHES:]).view(np.uint64)
+        halves = [np.ascontiguousarray(sig[:, k : k + 8]).view(np.uint64).ravel() for k in range(0, sig.shape[1], 8)]
+        hashes, maps = halves[: HASHES // STEP], halves[HASHES // STEP :]
         found = []
         for i, j in _pairs_within(starts[more], sizes[more]):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = (small >= threshold * large - 1e-9) & (key[i] == key[j]) & (cls[i] != cls[j]) & (~cross[i] | (block[i] != block[j]))
             i, j = i[ok], j[ok]
-            matches = np.zeros(len(i), np.int16)
+            matches = np.zeros(len(i), np.uint8)
             for step, limit in enumerate(least):
-                part = slice(step * STEP, (step + 1) * STEP)
-                matches = matches + (sig[i, part] == sig[j, part]).sum(axis=1, dtype=np.int16)
-                ok = matches >= limit
-                i, j, matches = i[ok], j[ok], matches[ok]
+                matches += _equal_bytes(hashes[step][i], hashes[step][j])
+                if limit:
+                    ok = matches >= limit
+                    i, j, matches = i[ok], j[ok], matches[ok]
             # the first half of verifying: alike sets of sizes x and y differ in at most (x+y)(1-t)/(1+t) words
-            differ = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1)
+            differ = sum(np.bitwise_count(m[i] ^ m[j]) for m in maps)
             ok = differ <= (n[i] + n[j]) * (1 - threshold) / (1 + threshold) + 1e-9
             i, j = i[ok], j[ok]
             if len(i):
@@ -207,8 +222,11 @@ def alike(facts: DataFrame, id_col: str = "id", text_col: str = "text", threshol
     top = top.sort_values(["df", "w"]).reset_index(drop=True)
     rank = np.arange(len(top), dtype=np.int32)
     order = np.argsort(top["w"].to_numpy(np.int64)) if len(top) else np.empty(0, int)
-    keys = _keys(reps, threshold, top["w"].to_numpy(np.int64)[order], rank[order])
-    survivors = over_groups(blocked(keys, "key", "cls", GROUP_CAP), "_group", _prune(threshold, tolerance), "a long, b long").distinct()
+    known = top["w"].to_numpy(np.int64)[order], rank[order]
+    keys = _keys(reps, threshold, *known)
+    # a rare word's key has at most limit rows, so only pairs of frequent words can be hot
+    counted = _keys(reps, threshold, *known, bare=limit <= GROUP_CAP)
+    survivors = over_groups(blocked(keys, "key", "cls", GROUP_CAP, counted), "_group", _prune(threshold, tolerance), "a long, b long").distinct()
     both = survivors.join(reps.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(reps.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     similarity = common / (F.size("wa") + F.size("wb") - common)
