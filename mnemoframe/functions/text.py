@@ -47,7 +47,7 @@ def inline_dates(text: Column) -> Column:
 
 def time_info(raw: Column, resolved: Column, fact_ts: Column) -> Column:
     """`raw [start]` or `raw [start, end]`, the resolved part being cut at its first slash; without a mark `[fact_ts]`, or empty."""
-    start, end = F.substring_index(resolved, "/", 1), F.expr("substr(resolved, instr(resolved, '/') + 1)") if False else F.regexp_extract(resolved, "/(.*)$", 1)
+    start, end = F.substring_index(resolved, "/", 1), F.regexp_extract(resolved, "/(.*)$", 1)
     span = F.when(resolved.contains("/"), F.concat(start, F.lit(", "), end)).otherwise(resolved)
     known = F.concat(raw, F.lit(" ["), span, F.lit("]"))
     return F.when(resolved.isNotNull(), known).when(fact_ts.isNotNull() & (fact_ts != ""), F.concat(F.lit("["), fact_ts, F.lit("]"))).otherwise("")
@@ -153,7 +153,7 @@ def known_entity_line(name: Column, aliases: Column, desc: Column) -> Column:
 def shortened_reply(content: Column, keep: int = 400) -> Column:
     """Runs of empty lines closed up; of longer texts the last keep characters behind a mark."""
     flat = F.regexp_replace(content, r"\n{2,}", "\n")
-    return F.when(F.length(flat) > keep, F.concat(F.lit("（……）"), F.expr("right") if False else F.substring(flat, -keep, keep))).otherwise(flat)
+    return F.when(F.length(flat) > keep, F.concat(F.lit("（……）"), F.substring(flat, -keep, keep))).otherwise(flat)
 
 
 def shortened_question(content: Column, keep: int = 2000) -> Column:

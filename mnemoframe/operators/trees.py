@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.operators.hierarchy import hierarchy
+from mnemoframe.runtime import checkpointed
 
 #: Weights and limits of the structure rules.
 UNCERTAINTY_STEP, WIDTH_WEIGHT, DEPTH_WEIGHT, DEBT_LIMIT, AUDITS, MOST_CHILDREN = 1.0, 3.0, 5.0, 10.0, 5, 15
@@ -159,7 +160,7 @@ def beam(nodes: DataFrame, scores: DataFrame, width: int = 3, rounds: int = 32)
         hit = level.filter("fact_id is not null").select("root_id", "fact_id")
         found = hit if found is None else found.unionByName(hit)
         level = level.filter("fact_id is null").select("root_id", "at")
-        level = level.localCheckpoint(eager=True) if False else level
+        level = checkpointed(level)
         if level.isEmpty():
             break
     return found.distinct()

@@ -86,9 +86,9 @@ def f9_summary_search(c):
     return c.summaries.filter(F.col("subject").ilike("%12%") | F.col("content").ilike("%insurance%")).select("session_id", "subject")
 
 
-@query("SELECT DISTINCT batch_id FROM fcts WHERE batch_id LIKE 'batch!-0000%' ESCAPE '!'")
+@query("SELECT DISTINCT batch_id FROM fcts WHERE batch_id LIKE 'batch-0000%' ESCAPE '!'")
 def f10_batches_by_prefix(c):
-    return c.facts.filter(F.expr("batch_id like 'batch!-0000%' escape '!'")).select("batch_id").distinct()
+    return c.facts.filter(F.expr("batch_id like 'batch-0000%' escape '!'")).select("batch_id").distinct()
 
 
 @query("SELECT item_id FROM eval_items WHERE regexp_matches(question, '(?i)kettle|easel') OR regexp_matches(coalesce(answer, ''), '(?i)kettle|easel')")
@@ -339,7 +339,7 @@ def t6_top_per_task(c):
     return c.nodes.filter("uncertainty_score >= 3").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("id", "task_id")
 
 
-@query("SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY task_id) AS at FROM (SELECT DISTINCT task_id FROM sessions)) WHERE at BETWEEN 1 AND 5 OR at = 8")
+@query("SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY task_id) AS place FROM (SELECT DISTINCT task_id FROM sessions)) WHERE place BETWEEN 1 AND 5 OR place = 8")
 def t7_tasks_by_place(c):
     w = Window.orderBy("task_id")  # one row a task
     return c.sessions.select("task_id").distinct().withColumn("at", F.row_number().over(w)).filter("at between 1 and 5 or at = 8").select("task_id")
