@@ -21,13 +21,13 @@ from mnemoframe.runtime import blocked, checkpointed, over_groups
 
 DIMENSIONS = 64
 NEIGHBOURS, MIN_COSINE = 5, 0.9
-#: Single projections, and how many of them two vectors at MIN_COSINE must collide in: 38 are expected of 48 (standard deviation 2.8),
-#: 15 (3.2) of two unrelated vectors.
-ARRAYS, COLLISIONS = 48, 27
+#: Single projections, and how many of them two vectors must collide in: of 64, 51 are expected at MIN_COSINE (standard deviation 3.3),
+#: 24 (3.9) of two unrelated vectors that share a cell.
+ARRAYS, COLLISIONS = 64, 40
 #: Half width of a window at radius 1, in units of the distance at MIN_COSINE over the root of the dimensions: 1.25 standard deviations.
 WINDOW = 1.25
 #: Sets of pivots and cells of each set that a vector goes to. Pivots are a sample of at most MOST_PIVOTS vectors a set, by hash.
-PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 4096, 200
+PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 4096, 150
 #: Rows of one task's group; larger cells are compared block by block.
 CELL_CAP = 1024
 _SCALE = 200.0  # steps of the quantised projections in one unit
@@ -43,17 +43,24 @@ def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 continue
             m = np.array([np.nan_to_num(np.array(v, dtype=np.float64), nan=np.inf) for v in batch["v"]]).reshape(-1, DIMENSIONS)
             ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
-            m, ids = m[ok], batch["id"].to_numpy()[ok]
-            m = m / np.abs(m).max(axis=1, keepdims=True)
+            raw, ids = m[ok], batch["id"].to_numpy()[ok]
+            m = raw / np.abs(raw).max(axis=1, keepdims=True)
             unit = np.rint(m / np.linalg.norm(m, axis=1, keepdims=True) * 1e5).astype(np.int32)
-            small = m.astype(np.float32)
-            yield pd.DataFrame({"id": ids, "cls": np.array([xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63 for u in unit], np.int64), "vec": [r.tobytes() for r in small]})
+            yield pd.DataFrame({"id": ids, "cls": np.array([xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63 for u in unit], np.int64), "vec": _packed(raw)})
 
     return rows.mapInPandas(run, "id long, cls long, vec binary")
 
 
+def _packed(rows: np.ndarray) -> list[bytes]:
+    """Each row of float32 as bytes, all first bytes, then all second ones and so on: vectors of few digits compress well that way."""
+    return [np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4).T).tobytes() for r in rows.astype(np.float32)]
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.frombuffer(b"".join(vectors), np.float32).reshape(-1, DIMENSIONS)
+    """Packed vectors as float64 rows of length 1."""
+    planes = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, 4, DIMENSIONS)
+    m = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -67,7 +74,7 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
     """(cell, cls, proj): each class in the CELLS nearest cells of each set of pivots, with its quantised projections."""
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
     sample = classes.select("vec", F.xxhash64("cls").alias("h")).orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
-    pivots = _matrix(sample["vec"])
+    pivots = _matrix(sample["vec"]).astype(np.float32)
     held = classes.sparkSession.sparkContext.broadcast(np.stack([pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,8 +82,8 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.iloc[lo : lo + 1000]
-                unit = _matrix(part["vec"])
-                proj = np.clip(np.rint(unit @ axes * _SCALE), -127, 127).astype(np.int8)
+                unit = _matrix(part["vec"]).astype(np.float32)
+                proj = (np.clip(np.rint(unit @ axes * _SCALE), -100, 100) + 128).astype(np.uint8)
                 packed, out = [p.tobytes() for p in proj], []
                 for k, own in enumerate(held.value):
                     s = unit @ own.T
@@ -90,18 +97,19 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
     return classes.select("cls", "vec").mapInPandas(run, "cell long, cls long, proj binary")
 
 
-def _count_collisions(proj: np.ndarray, query: np.ndarray, half: int) -> np.ndarray:
-    """For each query row the number of arrays in which each row lies in the window of half width around it."""
-    counts = np.zeros((len(query), len(proj)), np.uint8)
-    for j in range(proj.shape[1]):
-        column = proj[:, j].astype(np.int16)
-        order = np.argsort(column, kind="stable")
-        held = column[order]
-        place = np.empty(len(column), np.uint16)
-        place[order] = np.arange(len(column), dtype=np.uint16)
-        lo = np.searchsorted(held, column[query] - half, side="left").astype(np.uint16)
-        wide = np.searchsorted(held, column[query] + half, side="right").astype(np.uint16) - lo
-        counts += (place[None, :] - lo[:, None]) < wide[:, None]  # wraps below the window
+def _count_collisions(arrays: np.ndarray, query: slice | np.ndarray, rows: slice, half: int) -> np.ndarray:
+    """For each query the number of arrays in which each row lies in the window of half width around it.
+
+    arrays holds one array of bytes for each projection. A window of a sorted array is a range of its values, so all windows of an array
+    are taken at once by value; bytes wrap below the window, and values are at most 200 apart, so nothing wraps back into it.
+    """
+    own = arrays[:, query]
+    n, m = own.shape[1], arrays[0, rows].shape[0]
+    counts, apart, inside = np.zeros((n, m), np.uint8), np.empty((n, m), np.uint8), np.empty((n, m), bool)
+    for values, centre in zip(arrays, own):
+        np.subtract(values[None, rows], (centre - np.uint8(half))[:, None], out=apart)
+        np.less_equal(apart, np.uint8(2 * half), out=inside)
+        np.add(counts, inside.view(np.uint8), out=counts)
     return counts
 
 
@@ -110,29 +118,40 @@ def _candidates(k: int, min_cosine: float):
 
     def fn(rows: pd.DataFrame) -> pd.DataFrame:
         group, cls, block, cross, cell = (rows[c].to_numpy() for c in ("_group", "cls", "_block", "_cross", "cell"))
-        proj = np.frombuffer(b"".join(rows["proj"]), np.int8).reshape(-1, ARRAYS)
-        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1])])
+        proj = np.frombuffer(b"".join(rows["proj"]), np.uint8).reshape(-1, ARRAYS)
+        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])])
         found = []
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            ok = cls[x] != cls[y]
+            ok &= ~cross[x] | (block[x] != block[y])
+            a, b = cls[x[ok]], cls[y[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+
         for s, e in zip(starts, np.r_[starts[1:], len(group)]):
             if e - s < 2:
                 continue
-            p, c, b = proj[s:e], cls[s:e], block[s:e]
+            arrays = np.ascontiguousarray(proj[s:e].T)
+            if e - s <= CELL_CAP // 2:  # few rows: all at the last radius, each pair once
+                for lo in range(0, e - s, 64):
+                    i, j = np.nonzero(_count_collisions(arrays, slice(lo, lo + 64), slice(lo, None), round(unit_half)) >= COLLISIONS)
+                    ok = i < j
+                    keep(s + lo + i[ok], s + lo + j[ok])
+                continue
             open_ = np.arange(e - s)
-            for radius in (0.25, 0.5, 1.0) if e - s > CELL_CAP // 2 else (1.0,):
-                counts = _count_collisions(p, open_, round(unit_half * radius))
-                hit = counts >= COLLISIONS
-                if cross[s]:
-                    hit &= b[open_][:, None] != b[None, :]
-                hit &= c[open_][:, None] != c[None, :]
-                if len(set(cell[s:e])) > 1:
-                    hit &= cell[s:e][open_][:, None] == cell[s:e][None, :]
-                enough = hit.sum(axis=1) >= 3 * k
-                i, j = np.nonzero(hit if radius == 1.0 else hit & enough[:, None])
-                x, y = c[open_[i]], c[j]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-                open_ = open_[~enough]
-                if not len(open_):
-                    break
+            for radius in (0.25, 0.5, 1.0):  # a query with enough rows in the windows of one radius does not widen them
+                left = []
+                for lo in range(0, len(open_), 64):
+                    q = open_[lo : lo + 64]
+                    hit = _count_collisions(arrays, q, slice(None), round(unit_half * radius)) >= COLLISIONS
+                    hit[np.arange(len(q)), q] = False
+                    if cross[s]:
+                        hit &= block[s + q][:, None] != block[None, s:e]
+                    enough = hit.sum(axis=1) >= 3 * k
+                    i, j = np.nonzero(hit if radius == 1.0 else hit & enough[:, None])
+                    keep(s + q[i], s + j)
+                    left.append(q[~enough])
+                open_ = np.concatenate(left) if left else open_[:0]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -144,8 +163,7 @@ def _cosines(pairs: DataFrame, min_cosine: float) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c]), np.float32).reshape(-1, DIMENSIONS).astype(np.float64) for c in ("va", "vb"))
-            cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            cosine = (_matrix(batch["va"]) * _matrix(batch["vb"])).sum(axis=1)
             keep = cosine >= min_cosine - 1e-9
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "cosine": cosine})[keep]
 
