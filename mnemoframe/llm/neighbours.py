@@ -73,7 +73,10 @@ def _directions() -> np.ndarray:
 def _cells(classes: DataFrame, n: int) -> DataFrame:
     """(cell, cls, proj): each class in the CELLS nearest cells of each set of pivots, with its quantised projections."""
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
-    sample = classes.select("vec", F.xxhash64("cls").alias("h")).orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
+    # three times as many as needed are kept by hash, so that tasks do not each send a full sample to the driver
+    share = min(1.0, 3 * per_set * PIVOT_SETS / n)
+    hashed = classes.select("vec", F.xxhash64("cls").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    sample = hashed.orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
     pivots = _matrix(sample["vec"]).astype(np.float32)
     held = classes.sparkSession.sparkContext.broadcast(np.stack([pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]))
 
