@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.runtime import checkpointed
+
 #: Ids of one block. A session's rows inside a block, and so the longest fragment, are at most so many distinct ids.
 BLOCK_IDS = 2048
 _BLANK = "^[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u0085\\u001c-\\u001f]*$"
@@ -34,13 +36,13 @@ def fragments(messages: DataFrame, aliases: DataFrame, block_ids: int = BLOCK_ID
     inside = Window.partitionBy("session_id", "block").orderBy("position", "h")  # at most block_ids rows
     step = F.when(F.col("position") == F.lag("position").over(inside) + 1, 0).otherwise(1)
     rows = rows.withColumn("_new", step).withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    turns = rows.withColumn("frag", F.xxhash64("session_id", "block", "_run")).drop("block", "_new", "_run")
+    turns = checkpointed(rows.withColumn("frag", F.xxhash64("session_id", "block", "_run")).drop("block", "_new", "_run"))
     spoken = F.when(F.col("role") != "system", F.struct("position", "role"))
     frags = turns.groupBy("session_id", "frag").agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.sort_array(F.collect_list(F.struct("position", "h"))).alias("chain"),
         F.max("blank").alias("blank"), F.max(F.col("role") == "user").alias("user"), F.max(F.col("role") == "assistant").alias("assistant"), F.max(spoken).alias("spoken"), F.max(F.col("position").isNull()).alias("unplaced"),
     )
-    return turns, frags.withColumn("chain", F.transform("chain", lambda x: x["h"]))
+    return turns, checkpointed(frags.withColumn("chain", F.transform("chain", lambda x: x["h"])))
 
 
 def overlap_edges(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,26 +52,26 @@ def overlap_edges(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
     several links of a fragment the longest overlap counts; where two different fragments tie, the way is ambiguous and no link remains.
     """
     base = frags.filter("not unplaced").select("session_id", "frag", "first", "last", "chain")
-    inner = base.select("session_id", F.col("frag").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"), F.col("chain").alias("a_chain"), F.posexplode("chain").alias("at", "head"))
-    other = base.select("session_id", F.col("frag").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.col("chain").alias("b_chain"), F.col("chain")[0].alias("head"))
-    met = inner.select("session_id", "head", "a", "a_last", "at").join(other.select("session_id", "head", "b", "b_last"), ["session_id", "head"]).filter("a <> b")
+    inner = base.select("session_id", F.col("frag").alias("a"), F.col("last").alias("a_last"), F.posexplode("chain").alias("at", "head"))
+    other = base.select("session_id", F.col("frag").alias("b"), F.col("last").alias("b_last"), F.col("chain")[0].alias("head"))
+    met = checkpointed(inner.join(other, ["session_id", "head"]).filter("a <> b"))
     met = met.join(base.select(F.col("frag").alias("a"), F.col("chain").alias("a_chain")), "a").join(base.select(F.col("frag").alias("b"), F.col("chain").alias("b_chain")), "b")
     n = F.least(F.size("a_chain") - F.col("at"), F.size("b_chain"))
-    met = met.withColumn("n", n).filter(F.expr("slice(a_chain, at + 1, n) = slice(b_chain, 1, n)"))
+    met = checkpointed(met.withColumn("n", n).filter(F.expr("slice(a_chain, at + 1, n) = slice(b_chain, 1, n)")).drop("a_chain", "b_chain"))
     within = (F.col("b_last") < F.col("a_last")) | ((F.col("b_last") == F.col("a_last")) & ((F.col("at") > 0) | (F.col("a") < F.col("b"))))
     contained = met.filter(within).select(F.col("b").alias("frag")).distinct()
     linked = met.filter("b_last > a_last and at > 0").select("session_id", "a", "b", "n")
     # b begins where a begins and goes on: then a lies in b, which the row with a and b exchanged has told
     after = base.select("session_id", F.col("frag").alias("a"), (F.col("last") + 1).alias("pos")).join(base.select("session_id", F.col("frag").alias("b"), F.col("first").alias("pos")), ["session_id", "pos"])
     links = linked.unionByName(after.select("session_id", "a", "b", F.lit(0).alias("n")))
-    links = links.join(contained.withColumnRenamed("frag", "a"), "a", "left_anti").join(contained.withColumnRenamed("frag", "b"), "b", "left_anti")
+    links = checkpointed(links.join(contained.withColumnRenamed("frag", "a"), "a", "left_anti").join(contained.withColumnRenamed("frag", "b"), "b", "left_anti"))
 
     def best(side: str) -> DataFrame:
         top = links.groupBy(F.col(side).alias("_s")).agg(F.max("n").alias("_n"))
         tied = links.join(top, (F.col(side) == F.col("_s")) & (F.col("n") == F.col("_n"))).groupBy(side).agg(F.min("a").alias("a_"), F.max("a").alias("a2"), F.min("b").alias("b_"), F.max("b").alias("b2"))
         return tied.filter("a_ = a2 and b_ = b2").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
 
-    return contained, best("a").intersect(best("b"))
+    return contained, checkpointed(best("a").intersect(best("b")))
 
 
 def assemble(sessions: DataFrame, messages: DataFrame, aliases: DataFrame, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
