@@ -254,8 +254,8 @@ def fit_chain(docs: list[tuple[str, set[int], str | None, str | None]], lexicon:
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled: int = MOST_LABELLED) -> Chain:
-    """The model from labelled documents (at most most_labelled, the smallest hashes of doc_id) and all sentences of docs."""
+def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled: int = MOST_LABELLED) -> Chain | None:
+    """The model from labelled documents (at most most_labelled, the smallest hashes of doc_id) and all sentences of docs; None without any."""
     names = sorted(r[0] for r in subjects.filter("subject is not null").select("subject").distinct().limit(10_000).collect())
     at = {s: i for i, s in enumerate(names)}
     by_doc = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -263,6 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled
     once = once.sort_values("doc_id")
     held = [(t or "", {at[x] for x in s if x in at}, k, c) for t, s, k, c in zip(once["text"], once["s"], once["doc_kind"], once["source"])]
     held = [d for d in held if d[1] and d[0].strip()]
+    if not held:
+        return None
     lexicon = fit_lexicon([d[:2] for d in held], names)
     for _ in range(_ROUNDS):
         lexicon = widened(lexicon, docs, "text")
@@ -275,6 +277,9 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
     Null and blank texts have none; whole texts are read. Without any usable label there are no areas. Copies of a doc_id count once.
     """
     chain = train(docs, labels, subjects)
+    kind = dict(docs.dtypes)["doc_id"]
+    if chain is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, subject string")
     names, held = chain.lexicon.subjects, docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,4 +288,4 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
             yield pd.DataFrame(rows, columns=["doc_id", "subject"])
 
     usable = docs.filter("doc_id is not null").select("doc_id", "text", "doc_kind", "source")
-    return usable.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, subject string").distinct()
+    return usable.mapInPandas(run, f"doc_id {kind}, subject string").distinct()
