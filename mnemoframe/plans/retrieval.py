@@ -136,11 +136,11 @@ def j12_nearest_of_queries(c):
     return V.nearest_of_few(q, ok.select(F.col("id").alias("item_id"), F.col("text_embedding").alias("item_vec")), 5, 0.6, 100_000)
 
 
-@query(_VEC + " SELECT task_id, i AS pos, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean FROM fv, unnest(range(1, 65)) AS r(i) GROUP BY 1, 2")
+@query(_VEC + " SELECT task_id, i AS pos, sum(CAST(v[i] AS DOUBLE)) / count(*) AS mean FROM fv, unnest(range(1, 65)) AS r(i) GROUP BY 1, 2")
 def a19_mean_vectors(c):
     ok = _facts(c).filter(V.is_vector(F.col("text_embedding"), 64))
     m = V.mean_vector(ok, ["task_id"], "text_embedding")
-    return m.select("task_id", F.posexplode("centroid").alias("p", "m")).select("task_id", (F.col("p") + 1).cast("long").alias("pos"), F.round("m", 6).alias("mean"))
+    return m.select("task_id", F.posexplode("centroid").alias("p", "m")).select("task_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("m").alias("mean"))
 
 
 @query(bm25("act", "id", "text", "bm") + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
