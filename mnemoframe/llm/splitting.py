@@ -114,7 +114,7 @@ def split_items(items: DataFrame, id_col: str, text_col: str, max_tokens: int =
 
     Copies of an id count once (of differing rows the least text holds); null ids are dropped. Blank items give one empty piece with no
     tokens unless they are over the limit on characters; items within the limits give one piece, their text as it is. Whole texts are
-    read, however long. oversized says that the item was over a limit.
+    read, however long. oversized says that the item was over a limit, be it by white space around it, which no piece keeps.
     """
     once = items.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
 
@@ -124,7 +124,7 @@ def split_items(items: DataFrame, id_col: str, text_col: str, max_tokens: int =
             for key, text in zip(batch["id"], batch["text"]):
                 text = text or ""
                 spans = split_spans(text, max_tokens, max_chars, overlap)
-                over = len(spans) > 1
+                over = len(text) > max_chars or len(_TOKEN.findall(text)) > max_tokens
                 for i, (a, b, back) in enumerate(spans):
                     piece = text[a:b] if text.strip() or over else ""
                     rows.append((key, i, len(spans), piece, len(_TOKEN.findall(piece)), back, over))
