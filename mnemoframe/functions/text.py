@@ -1,7 +1,11 @@
-"""Scalar functions on text, all as built-in column expressions."""
+"""Scalar functions on text: built-in column expressions but for MinHash."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,9 +122,18 @@ def shingle_hash(shingle: Column, seed: Column | int) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+@lru_cache(maxsize=1 << 16)
+def _hashes(shingle: str, seeds: int) -> tuple[int, ...]:
+    return tuple(int(hashlib.md5(f"{s}:{shingle}".encode()).hexdigest()[:15], 16) for s in range(seeds))
+
+
 def minhash_signature(grams: Column, seeds: int = 32) -> Column:
-    """Least hash for each seed; null entries for no shingles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(grams, lambda g: shingle_hash(g, s))))
+    """Least shingle_hash for each seed from 0; null entries for no shingles. In Arrow batches, each shingle hashed once a worker."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([[min(h) for h in zip(*(_hashes(g, seeds) for g in own))] if own is not None and len(own) else [None] * seeds for own in batch])
+
+    return F.pandas_udf(run, "array<long>")(grams)
 
 
 def char_entropy(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +59,38 @@ def top_by_vector(df: DataFrame, vec_col: str, query: list[float], id_col: str,
     return scored.orderBy(F.desc("score"), id_col).limit(n)
 
 
-def nearest_of_few(queries: DataFrame, items: DataFrame, k: int, least: float, most_queries: int = 1000) -> DataFrame:
-    """(query_id, item_id, score): of each query (query_id, query_vec) the k items (item_id, item_vec) of inner product >= least.
+def nearest_of_few(queries: DataFrame, items: DataFrame, k: int, least: float, most_queries: int = 100_000) -> DataFrame:
+    """(query_id, item_id, score): of each query (query_id, query_vec) the k items (item_id, item_vec) of inner product >= least; ties go to the smaller id.
 
-    For a stated set of at most most_queries queries, which is broadcast; more raise an error, as the neighbour operator is made for them.
+    For a stated set of at most most_queries queries, which goes to every task as one matrix; more raise an error, as the neighbour
+    operator is made for them. Items pass in blocks, each giving its own k best, so that only these are shuffled.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
+    asked = queries.limit(most_queries + 1).toPandas()
+    if len(asked) > most_queries:
         raise ValueError(f"more than {most_queries} queries")
-    both = items.join(F.broadcast(queries), F.size("item_vec") == F.size("query_vec"))
-    scored = both.select("query_id", "item_id", F.round(inner_product(F.col("query_vec"), F.col("item_vec")), 6).alias("score")).filter(F.col("score") >= least)
+    asked = [(q, np.asarray(v, np.float64)) for q, v in zip(asked["query_id"], asked["query_vec"]) if v is not None]
+    held = items.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(v) for _, v in held.value}:
+            own = [(q, v) for q, v in held.value if len(v) == n]
+            by_size[n] = np.array([q for q, _ in own]), np.stack([v for _, v in own])
+        for batch in batches:
+            sizes = np.array([-1 if v is None else len(v) for v in batch["item_vec"]])
+            for n, (ids, matrix) in by_size.items():
+                part = batch[sizes == n]
+                if not len(part):
+                    continue
+                key, m = part["item_id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in part["item_vec"]])
+                for lo in range(0, len(ids), 1000):
+                    score = matrix[lo : lo + 1000] @ m.T
+                    score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+                    q, i = np.nonzero(score >= least)
+                    out = pd.DataFrame({"query_id": ids[lo + q], "item_id": key[i], "score": score[q, i]})
+                    if len(out):
+                        yield out.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    found = items.select("item_id", "item_vec").mapInPandas(run, "query_id long, item_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+    return found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")

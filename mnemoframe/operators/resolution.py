@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.runtime import checkpointed
 
 #: Hash functions, their band width, and the similarity from which names are the same.
 SEEDS, BAND, SIMILAR = 32, 4, 0.9
@@ -20,7 +21,7 @@ def shingled(names: DataFrame, id_col: str = "id", name_col: str = "canonical_re
 
 def signed(names: DataFrame) -> DataFrame:
     """names with signature; those without shingles are left out."""
-    return names.filter(F.size("shingles") > 0).withColumn("signature", X.minhash_signature(F.col("shingles"), SEEDS))
+    return checkpointed(names.filter(F.size("shingles") > 0).withColumn("signature", X.minhash_signature(F.col("shingles"), SEEDS)))
 
 
 def entropy_rejected(name: Column) -> Column:

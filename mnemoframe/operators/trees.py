@@ -153,14 +153,14 @@ def beam(nodes: DataFrame, scores: DataFrame, width: int = 3, rounds: int = 32)
     kids = nodes.filter("parent_id is not null").join(scores, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     best = kids.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= width).select(F.col("parent_id").alias("p"), "id", "fact_id")
     known = nodes.select(F.col("id").alias("k"))
+    best = checkpointed(best)
     level = nodes.join(known, F.col("parent_id") == F.col("k"), "left").filter("k is null").select(F.col("id").alias("root_id"), F.col("id").alias("at"))
     found = None
     for _ in range(rounds):
-        level = level.join(best, F.col("at") == F.col("p")).select("root_id", F.col("id").alias("at"), "fact_id")
+        level = checkpointed(level.join(best, F.col("at") == F.col("p")).select("root_id", F.col("id").alias("at"), "fact_id"))
         hit = level.filter("fact_id is not null").select("root_id", "fact_id")
         found = hit if found is None else found.unionByName(hit)
         level = level.filter("fact_id is null").select("root_id", "at")
-        level = checkpointed(level)
         if level.isEmpty():
             break
     return found.distinct()

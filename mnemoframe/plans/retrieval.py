@@ -229,18 +229,18 @@ def r12_aspect_paths(c):
     return G.aspect_paths(c.nodes, c.entities).select("id", "aspect_path")
 
 
-_SHINGLES = r""", nm AS (SELECT id, task_id, entity_id, replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(canonical_ref), '\s+', ' ', 'g')), '[^a-z0-9'' ]', ' ', 'g'), '\s+', ' ', 'g')), ' ', '') AS s FROM ents WHERE task_id <= 10),
+_SHINGLES = r""", nm AS (SELECT id, task_id, entity_id, replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(canonical_ref), '\s+', ' ', 'g')), '[^a-z0-9'' ]', ' ', 'g'), '\s+', ' ', 'g')), ' ', '') AS s FROM ents),
 sh AS (SELECT id, task_id, CASE WHEN length(s) = 0 THEN []::VARCHAR[] WHEN length(s) < 3 THEN [s] ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) END AS g FROM nm)"""
 
 
 @query(_SHINGLES + " SELECT id, unnest(g) AS shingle FROM sh")
 def x16_shingles(c):
-    return E.shingled(c.entities.filter("task_id <= 10")).select("id", F.explode("shingles").alias("shingle"))
+    return E.shingled(c.entities).select("id", F.explode("shingles").alias("shingle"))
 
 
 @query(_SHINGLES + ", hs AS (SELECT DISTINCT id, seed, CAST('0x' || substring(md5(CAST(seed AS VARCHAR) || ':' || x), 1, 15) AS BIGINT) AS h FROM (SELECT id, unnest(g) AS x FROM sh), unnest(range(0, 32)) AS r(seed)) SELECT id, seed, min(h) AS least FROM hs GROUP BY 1, 2")
 def e3_minhash(c):
-    return E.signed(E.shingled(c.entities.filter("task_id <= 10"))).select("id", F.posexplode("signature").alias("seed", "least")).select("id", F.col("seed").cast("long").alias("seed"), "least")
+    return E.signed(E.shingled(c.entities)).select("id", F.posexplode("signature").alias("seed", "least")).select("id", F.col("seed").cast("long").alias("seed"), "least")
 
 
 @query(_SHINGLES + """, hs AS (SELECT id, task_id, seed, min(CAST('0x' || substring(md5(CAST(seed AS VARCHAR) || ':' || x), 1, 15) AS BIGINT)) AS h FROM (SELECT id, task_id, unnest(g) AS x FROM sh), unnest(range(0, 32)) AS r(seed) GROUP BY 1, 2, 3),
@@ -248,7 +248,7 @@ bands AS (SELECT id, task_id, seed // 4 AS band, string_agg(CAST(h AS VARCHAR),
 cand AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM bands x JOIN bands y ON x.task_id = y.task_id AND x.band = y.band AND x.b = y.b AND x.id < y.id)
 SELECT id_a, id_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM cand JOIN sh a ON a.id = id_a JOIN sh b ON b.id = id_b WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.9""")
 def e8_similar_names(c):
-    return E.banded_pairs(E.signed(E.shingled(c.entities.filter("task_id <= 10"))), 0.9)
+    return E.banded_pairs(E.signed(E.shingled(c.entities)), 0.9)
 
 
 @query(r", nm AS (SELECT id, task_id, trim(regexp_replace(lower(canonical_ref), '\s+', ' ', 'g')) AS name FROM ents) SELECT task_id, name, count(*) AS n, CASE WHEN count(*) = 1 THEN 'merge' ELSE 'ambiguous' END AS verdict FROM nm GROUP BY 1, 2")
@@ -256,9 +256,11 @@ def e7_exact_names(c):
     return E.exact_layer(c.entities)
 
 
-@query(r"SELECT id, length(canonical_ref) < 6 AND NOT contains(trim(canonical_ref), ' ') AS rejected FROM ents WHERE length(canonical_ref) < 6")
-def e5_short_names(c):
-    return c.entities.filter(F.length("canonical_ref") < 6).select("id", ((F.length("canonical_ref") < 6) & ~F.contains(F.trim("canonical_ref"), F.lit(" "))).alias("rejected"))
+@query(r""", ch AS (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(replace(lower(canonical_ref), ' ', ''), '')) AS c FROM ents) WHERE c <> '' GROUP BY 1, 2),
+h AS (SELECT id, -sum(p * log2(p)) AS h FROM (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM ch) GROUP BY 1)
+SELECT id, (length(canonical_ref) < 6 AND len(string_split_regex(trim(canonical_ref), '\s+')) < 2) OR coalesce(h, 0) < 1.5 AS rejected FROM ents LEFT JOIN h USING (id)""")
+def e5_rejected_names(c):
+    return c.entities.select("id", E.entropy_rejected(F.col("canonical_ref")).alias("rejected"))
 
 
 @query("SELECT task_id, text, min(id) AS kept, count(*) AS n FROM fcts GROUP BY 1, 2")

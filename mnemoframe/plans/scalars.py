@@ -44,9 +44,9 @@ def query(sql: str | None) -> Callable:
     return add
 
 
-@query("SELECT session_id, id, position FROM messages WHERE session_id <= 40")
+@query("SELECT session_id, id, position FROM messages")
 def s2_session_messages(c):
-    return c.messages.filter("session_id <= 40").orderBy("session_id", "position", "id").select("session_id", "id", "position")
+    return c.messages.orderBy("session_id", "position", "id").select("session_id", "id", "position")
 
 
 @query("SELECT id, CASE WHEN chat_id IS NULL OR trim(chat_id) = '' THEN 'legacy:' || task_id || ':' || session_number ELSE chat_id END AS chat_id FROM sessions")
@@ -290,9 +290,9 @@ def a18_run_status(c):
     return c.sessions.groupBy("task_id").agg(F.count(F.lit(1)).alias("total"), F.count("digested_at").alias("done"), (F.count(F.lit(1)) - F.count("digested_at")).alias("open"))
 
 
-@query("SELECT id, canonical_ref, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT id, canonical_ref, c, count(*) / sum(count(*)) OVER (PARTITION BY id) AS p FROM (SELECT id, canonical_ref, unnest(string_split(replace(canonical_ref, ' ', ''), '')) AS c FROM ents WHERE regexp_full_match(canonical_ref, '[A-Za-z ]+')) GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@query("SELECT id, canonical_ref, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT id, canonical_ref, c, count(*) / sum(count(*)) OVER (PARTITION BY id) AS p FROM (SELECT id, canonical_ref, unnest(string_split(replace(canonical_ref, ' ', ''), '')) AS c FROM ents) WHERE c <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def a21_name_entropy(c):
-    return c.entities.filter(F.col("canonical_ref").rlike("^[A-Za-z ]+$")).select("id", "canonical_ref", F.round(X.char_entropy(F.col("canonical_ref")), 6).alias("entropy"))
+    return c.entities.select("id", "canonical_ref", F.round(X.char_entropy(F.col("canonical_ref")), 6).alias("entropy"))
 
 
 @query("SELECT chat_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY session_number, id) AS session_ids FROM sessions GROUP BY 1")
@@ -408,14 +408,14 @@ def x14_normalized_names(c):
     return c.entities.select("id", X.normalized_name(F.col("canonical_ref")).alias("name"), X.fuzzy_name(F.col("canonical_ref")).alias("fuzzy"))
 
 
-@query(r"""SELECT id, CASE WHEN length(trim(session_time_raw)) > 10 AND regexp_matches(substring(trim(session_time_raw), 9), '\d{1,2}:\d{2}') THEN trim(session_time_raw) ELSE substring(trim(session_time_raw), 1, 10) END AS label FROM sessions WHERE NOT regexp_matches(session_time_raw, '\t')""")
+@query(r"""SELECT id, CASE WHEN length(trim(session_time_raw)) > 10 AND regexp_matches(substring(trim(session_time_raw), 9), '\d{1,2}:\d{2}') THEN trim(session_time_raw) ELSE substring(trim(session_time_raw), 1, 10) END AS label FROM sessions""")
 def x19_session_labels(c):
-    return c.sessions.filter(~F.col("session_time_raw").contains("\t")).select("id", X.session_label(F.col("session_time_raw")).alias("label"))
+    return c.sessions.select("id", X.session_label(F.col("session_time_raw")).alias("label"))
 
 
-@query("""SELECT session_id, string_agg(CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(content, ''), chr(10) ORDER BY position, id) AS lines FROM messages WHERE session_id < 100 GROUP BY 1""")
+@query("""SELECT session_id, string_agg(CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || coalesce(content, ''), chr(10) ORDER BY position, id) AS lines FROM messages GROUP BY 1""")
 def x20_session_text(c):
-    own = c.messages.filter("session_id < 100").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", X.message_line(F.lit(None).cast("string"), F.col("speaker"), F.col("content")).alias("t")))).alias("m"))
+    own = c.messages.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", X.message_line(F.lit(None).cast("string"), F.col("speaker"), F.col("content")).alias("t")))).alias("m"))
     return own.select("session_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("lines"))
 
 

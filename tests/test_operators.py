@@ -162,3 +162,37 @@ def test_file_library(spark):
     assert "&lt;Friday&gt;" in text and lib.packed(lib.search("none", "release"), 100) == ""
     left, documents, n = lib.without("c", "d1")
     assert (documents, n, left.count()) == (1, 1, 2) and lib.without("c")[1:] == (2, 2)
+
+
+def test_digest(spark):
+    from mnemoframe.operators import ingest as I
+
+    sessions = spark.createDataFrame([(1, 5, 1, None), (2, 5, 2, "done")], "id long, task_id int, session_number int, digested_at string")
+    messages = spark.createDataFrame([(1, 1, 0, "me", "Robert Miller likes tea", None), (2, 1, 1, "bot", "noted", None), (3, 2, 0, "me", "Anna left", None)], "id long, session_id long, position int, speaker string, content string, message_time_raw string")
+    facts = spark.createDataFrame([(41, 5, "x")], "id long, task_id int, text string")
+    sources = spark.createDataFrame([], "fact_id long, session_id long")
+    rows, links, done = I.digest(sessions, messages, facts, sources)
+    got = rows.collect()
+    assert [(r.id, r.task_id) for r in got] == [(42, 5)] and "[Robert Miller]" in got[0].text
+    assert [tuple(r) for r in links.collect()] == [(42, 1)] and [r[0] for r in done.collect()] == [1]
+    again = I.written(facts.unionByName(rows.select("id", "task_id", "text")), links, rows.select("task_id", F.lit(1).cast("long").alias("session_id"), "text"))
+    assert again[0].count() == 0 and again[1].count() == 0
+
+
+def test_store_messages_and_hooks(spark):
+    from mnemoframe.operators import ingest as I
+
+    sessions = spark.createDataFrame([(7, 5, 3)], "id long, task_id int, session_number int")
+    messages = spark.createDataFrame([(9,)], "id long")
+    s, m = I.store_messages(sessions, messages, 5, "chat", [("me", "a", None), ("bot", "b", None)])
+    assert (s.first().id, s.first().session_number) == (8, 4) and [(r.id, r.session_id, r.position) for r in m.orderBy("id").collect()] == [(10, 8, 0), (11, 8, 1)]
+    with pytest.raises(ValueError):
+        I.store_messages(sessions, messages, 5, "chat", [])
+    fails = I.Profile("x", None, I.Extraction(entities=lambda lines: 1 / 0))
+    b = spark.createDataFrame([(1, 0, ["Ann said"])], "session_id long, batch_index int, lines array<string>")
+    assert I.extracted(b, fails).count() == 0 and I.profile("unknown").name == "default" and I.profile("personas").fixed_entities == ["User"]
+    checks = [("[Ann] left [then::2024-05]", True), ("no reference [then::2024]", False), ("[Ann] [then::soon]", False), ("[Ann] [x::2024/]", True), (None, False)]
+    df = spark.createDataFrame(checks, "t string, ok boolean")
+    assert all(r.ok == r.got for r in df.withColumn("got", I.valid_fact(F.col("t"))).collect())
+    n = I.numbered(spark.range(1000).withColumnRenamed("id", "k"), [F.col("k")], 10).collect()
+    assert [r.id for r in sorted(n, key=lambda r: r.k)] == list(range(11, 1011))
