@@ -33,9 +33,10 @@ class Index:
         asked = sorted({t.strip("+") for t in bare} - {""})
         hits = self.postings.filter(F.col("term").isin(asked))
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.lengths))  # df has one row a query term, lengths is one row
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = hits.join(F.broadcast(df), "term")  # df has one row a query term
+        n_docs, mean = self.lengths.first()
+        idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
         found = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.when(F.col("term").isin(sorted(must)), 1)).alias("_must"))
         found = found.filter(F.col("_must") >= len(must)).select("id", "score")
         if keep is not None:
