@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
 from mnemoframe.operators import memory as M
+from mnemoframe.runtime import checkpointed
 
 
 def added(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,17 +24,17 @@ def added(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(new: DataFrame, order: list[Column], last: int, name: str = "id") -> DataFrame:
-    """new with ids after last, in order: ranges of partitions are counted first, so that no task sees all rows."""
-    parts = new.withColumn("_o", F.struct(*order)).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_m", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    """new with ids after last, in order: rows are ranged over partitions, written, counted and numbered in each, so that no task sees all rows."""
+    parts = checkpointed(new.withColumn("_o", F.struct(*order)).repartitionByRange("_o").withColumn("_p", F.spark_partition_id()))
     sizes = {r[0]: r[1] for r in parts.groupBy("_p").count().collect()}  # one row a partition
-    before, total = {}, last + 1
+    before, total = {}, last
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
     if not before:
         return new.withColumn(name, F.lit(None).cast("long"))
     offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_p")]
-    return local.withColumn(name, (F.col("_m") + offset).cast("long")).drop("_o", "_p", "_m")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_o"))
+    return parts.withColumn(name, (place + offset).cast("long")).drop("_o", "_p")
 
 
 def store_messages(sessions: DataFrame, messages: DataFrame, task_id: int, chat_id: str, said: list[tuple[str, str, str | None]], time_raw: str | None = None) -> tuple[DataFrame, DataFrame]:
