@@ -3,7 +3,7 @@
 Fragment contraction: rows are ranged over partitions by tree and id, each partition follows its own parent chains with pointer
 doubling in numpy and keeps for each node the exit of its chain (the top node of the chain inside the partition, and the parent that the
 top points to). Only the tops go on to the next, smaller level, whose answer is joined back. A level that fits one partition is solved
-there outright; a level that shrinks too little is dealt anew by the parents' hash with fragments twice as large, so the levels end.
+there outright; a level that shrinks too little is finished by distributed pointer doubling, in as many rounds as the logarithm of its size.
 """
 
 from __future__ import annotations
@@ -93,11 +93,9 @@ def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFra
     parent = F.when(F.col("e_cyclic"), F.col("id")).otherwise(F.col("e_top"))
     quotient = edge.select("id", "loc", parent.alias("parent"), (F.col("w_out") + F.coalesce("e_dist", F.lit(0))).alias("w"), *([F.when(F.col("e_id").isNotNull(), F.concat("seg_out", F.coalesce("e_chain", none))).otherwise(none).alias("seg")] if with_paths else []))
     quotient = checkpointed(quotient)
-    # a level that keeps over 7 rows of 10 is dealt anew by another hash, so that other chains fall together
-    if quotient.count() > 0.7 * n:
-        quotient = quotient.withColumn("loc", F.xxhash64(F.coalesce("parent", "id"), F.lit(level)))
-        rows = rows * 2
-    solved = _solve(quotient, rows, with_paths, level + 1).withColumnRenamed("id", "s_id").withColumnRenamed("depth", "s_depth")
+    left = quotient.count()
+    further = _doubled(quotient, left, with_paths) if left > 0.7 * n else _solve(quotient, rows, with_paths, level + 1)
+    solved = further.withColumnRenamed("id", "s_id").withColumnRenamed("depth", "s_depth")
     if with_paths:
         solved = solved.withColumnRenamed("above", "s_above")
     out = frag.join(solved, F.col("top") == F.col("s_id"), "left")
@@ -105,6 +103,34 @@ def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFra
     return out.select("id", F.when(cyclic, CYCLE).otherwise(F.col("root")).alias("root"), F.when(~cyclic, F.col("dist") + F.col("s_depth")).alias("depth"), *([F.when(cyclic, none).otherwise(F.concat("chain", "s_above")).alias("above")] if with_paths else []))
 
 
+def _doubled(q: DataFrame, n: int, with_paths: bool) -> DataFrame:
+    """As _solve, by joins: each round takes every open node twice as far up. What is open after the logarithm of n rounds runs in a circle; it is left out before paths are joined up."""
+    none = F.array().cast("array<long>")
+    root = F.col("parent").isNull()
+    first = [F.col("id"), F.when(root, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(root, 0).otherwise(F.col("w")).alias("dist"), root.alias("done")]
+
+    def climbed(cur: DataFrame, paths: bool) -> DataFrame:
+        cur = checkpointed(cur)
+        for _ in range(max(n, 2).bit_length() + 1):
+            open_ = cur.filter(~F.col("done"))
+            if open_.isEmpty():
+                break
+            over = cur.select(F.col("id").alias("o_id"), F.col("up").alias("o_up"), F.col("dist").alias("o_dist"), F.col("done").alias("o_done"), *([F.col("above").alias("o_above")] if paths else []))
+            moved = open_.join(over, F.col("up") == F.col("o_id")).select("id", F.col("o_up").alias("up"), (F.col("dist") + F.col("o_dist")).alias("dist"), F.col("o_done").alias("done"), *([F.concat("above", "o_above").alias("above")] if paths else []))
+            cur = checkpointed(cur.filter("done").unionByName(moved))
+        return cur
+
+    plain = climbed(q.select(*first), False)
+    ended = plain.filter("done")
+    if with_paths:
+        tree = q.join(ended.select("id"), "id", "left_semi")
+        ended = climbed(tree.select(*first, F.when(root, none).otherwise(F.col("seg")).alias("above")), True)
+    paths = [F.col("above")] if with_paths else []
+    out = ended.select("id", F.col("up").alias("root"), F.col("dist").alias("depth"), *paths)
+    circles = plain.filter(~F.col("done")).select("id", F.lit(CYCLE).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), *([none.alias("above")] if with_paths else []))
+    return out.unionByName(circles)
+
+
 def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", order_col: str = "created_at", tree_col: str | None = None, with_paths: bool = False, fragment_rows: int | None = None) -> DataFrame:
     """(id, root_id, depth[, path]) of every id.
 
