@@ -9,7 +9,7 @@ rows, the arrays are not laid over the whole table but over shards: the cells of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.runtime import blocked, checkpointed, over_groups
+from mnemoframe.runtime import blocked, checkpointed, over_groups, partitions_for
 
 DIMENSIONS = 64
 NEIGHBOURS, MIN_COSINE = 5, 0.9
@@ -30,6 +30,10 @@ WINDOW = 1.25
 PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 4096, 150
 #: Rows of one task's group; larger cells are compared block by block.
 CELL_CAP = 1024
+#: Rows of a block where all are compared with all, and blocks that one task goes over.
+BLOCK, BLOCKS_PER_TASK = 4096, 32
+#: How far a cosine of float32 may be off.
+_FLOAT32 = 4e-6
 _SCALE = 200.0  # steps of the quantised projections in one unit
 
 
@@ -173,27 +177,103 @@ def _cosines(pairs: DataFrame, min_cosine: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long, cosine double")
 
 
-def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(id, neighbour_id, cosine, rank): for every usable vector its at most k most similar other ids with a cosine of min_cosine or more.
+def _k_best(k: int, row: np.ndarray, other: np.ndarray, cosine: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row the k entries with the largest cosine; ties go to the smaller other. Sorted by row."""
+    order = np.lexsort((other, -cosine, row))
+    kept = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+    return tuple(x[kept] for x in (row, other, cosine, *more))
+
+
+def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, apart: Callable[[slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine), among them the k best rows of every query that reach its least cosine. apart tells which rows do not count."""
+    small_q, small_r = queries.astype(np.float32), rows.astype(np.float32)
+    found = []
+    for lo in range(0, len(queries), 256):
+        part = slice(lo, lo + 256)
+        s = small_q[part] @ small_r.T
+        if apart is not None:
+            s[apart(part)] = -3
+        limit = (least[part] - _FLOAT32).astype(np.float32)
+        hit = s >= limit[:, None]
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
+        if len(many) and s.shape[1] > k:  # the k-th best of some of the rows is a bound too
+            bound = np.partition(s[many, : max(1024, k + 1)], -k, axis=1)[:, -k] - np.float32(2 * _FLOAT32)
+            hit[many] = s[many] >= np.maximum(limit[many], bound)[:, None]
+        i, j = np.nonzero(hit)
+        i += lo
+        cosine = np.einsum("ij,ij->i", queries[i], rows[j]).round(12)
+        ok = cosine >= least[i]
+        found.append((i[ok], j[ok], cosine[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _all_with_all(classes: DataFrame, n: int, k: int) -> DataFrame:
+    """(a, b, cosine): the k nearest other classes of each, ties by their first ids; n * n cosines."""
+    count = partitions_for(n, BLOCK)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield pd.DataFrame({"at": [int(rows["cls"].iloc[0])], "cls": [rows["cls"].to_numpy(np.int64).tobytes()], "first": [rows["first"].to_numpy(np.int64).tobytes()], "vecs": [b"".join(rows["vec"])]})
+
+    blocks = checkpointed(classes.select("cls", "first", "vec").repartition(count, "cls").mapInPandas(pack, "at long, cls binary, first binary, vecs binary"))
+    others = blocks.select(F.col("at").alias("r_at"), F.col("cls").alias("r_cls"), F.col("first").alias("r_first"), F.col("vecs").alias("r_vecs")).repartition(partitions_for(count, BLOCKS_PER_TASK))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}
+        none = np.empty(0, np.int64)
+        for batch in batches:
+            for at, cls, vecs, r_at, r_cls, r_first, r_vecs in zip(*(batch[c] for c in ("at", "cls", "vecs", "r_at", "r_cls", "r_first", "r_vecs"))):
+                if at not in best:
+                    q = _matrix([vecs])
+                    best[at] = (cls, q, np.full(len(q), -2.0), (none, none, np.empty(0), none))
+                cls, q, least, kept = best[at]
+                own = (lambda part: np.eye(len(q), dtype=bool)[part]) if at == r_at else None
+                i, j, cosine = _nearest(q, _matrix([r_vecs]), k, least, own)
+                new = (i, np.frombuffer(r_first, np.int64)[j], cosine, np.frombuffer(r_cls, np.int64)[j])
+                kept = _k_best(k, *(np.concatenate(x) for x in zip(kept, new)))
+                full = np.flatnonzero(np.bincount(kept[0], minlength=len(q)) == k)
+                least[full] = kept[2][np.searchsorted(kept[0], full, side="right") - 1]
+                best[at] = (cls, q, least, kept)
+        for at, (cls, _, _, (row, *rest)) in best.items():
+            yield pd.DataFrame({"at": [at], **{c: [x.tobytes()] for c, x in zip(columns, (np.frombuffer(cls, np.int64)[row], *rest))}})
+
+    columns = {"a": np.int64, "first": np.int64, "cosine": np.float64, "b": np.int64}
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        kept = _k_best(k, *(np.frombuffer(b"".join(parts[c]), kind) for c, kind in columns.items()))
+        return pd.DataFrame(dict(zip(columns, kept)))[["a", "b", "cosine"]]
+
+    met = blocks.repartition(count).crossJoin(others).select("at", "cls", "vecs", "r_at", "r_cls", "r_first", "r_vecs").mapInPandas(compare, "at long, a binary, first binary, cosine binary, b binary")
+    return over_groups(met, "at", merge, "a long, b long, cosine double")
+
+
+def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS, min_cosine: float | None = None) -> DataFrame:
+    """(id, neighbour_id, cosine, rank): for every usable vector its k most similar other ids, or those with a cosine of min_cosine or more.
 
     Ties go to the smaller id; rank is from 1. Usable are exactly 64 finite values, not all zero, of any length; other rows and null ids
     take no part; copies of an id count once. Vectors of equal direction (to five digits) are one class and compared once, however
-    many: of a class only the k+1 smallest ids can be among anyone's nearest. The result is approximate in that a pair may be missed;
-    what is given is exact. Recall is measured in the tests and in the README.
+    many: of a class only the k+1 smallest ids can be among anyone's nearest. Without min_cosine the result is exact, at a cost that grows
+    with the square of the classes. With it a pair may be missed; what is given is exact. Recall is measured in the tests and in the README.
     """
     base = usable(table, id_col, vec_col)
-    classes = checkpointed(base.groupBy("cls").agg(F.min_by("vec", "id").alias("vec")))
+    classes = checkpointed(base.groupBy("cls").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("first")))
     members = checkpointed(base.select("id", "cls").distinct())
     n = classes.count()
     spark = table.sparkSession
     if not n:
         return spark.createDataFrame([], "id long, neighbour_id long, cosine double, rank int")
-    pairs = over_groups(blocked(_cells(classes, n), "cell", "cls", CELL_CAP), "_group", _candidates(k, min_cosine), "a long, b long").distinct()
-    with_a = pairs.join(classes.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a")
-    verified = checkpointed(_cosines(with_a.join(classes.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b"), min_cosine))
+    if min_cosine is None:
+        found = _all_with_all(classes, n, k)
+        directed = checkpointed(found)
+    else:
+        pairs = over_groups(blocked(_cells(classes, n), "cell", "cls", CELL_CAP), "_group", _candidates(k, min_cosine), "a long, b long").distinct()
+        with_a = pairs.join(classes.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a")
+        verified = checkpointed(_cosines(with_a.join(classes.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b"), min_cosine))
+        directed = verified.select("a", "b", "cosine").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     by_id = Window.partitionBy("cls").orderBy("id")
     least = members.withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") <= k + 1).select("cls", "id")
-    directed = verified.select("a", "b", "cosine").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     near = directed.join(least.select(F.col("cls").alias("b"), F.col("id").alias("neighbour_id")), "b").select("a", "neighbour_id", "cosine")
     own = least.select(F.col("cls").alias("a"), F.col("id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour_id")

@@ -24,15 +24,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_pairs(names.same_names(table(spark, sf_dir, "entities")))
 
 
+def _near(spark: SparkSession, sf_dir: str, min_cosine: float | None) -> DataFrame:
+    facts = neighbours.neighbours(table(spark, sf_dir, "facts"), "id", "text_embedding", min_cosine=min_cosine).withColumn("src", F.lit("facts"))
+    entities = neighbours.neighbours(table(spark, sf_dir, "entities"), "id", "desc_embedding", min_cosine=min_cosine).withColumn("src", F.lit("entities"))
+    return facts.unionByName(entities).select("src", "id", "neighbour_id", "cosine", "rank")
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, id, neighbour_id, cosine, rank) of facts and entities."""
-    facts = neighbours.neighbours(table(spark, sf_dir, "facts"), "id", "text_embedding").withColumn("src", F.lit("facts"))
-    entities = neighbours.neighbours(table(spark, sf_dir, "entities"), "id", "desc_embedding").withColumn("src", F.lit("entities"))
-    return facts.unionByName(entities).select("src", "id", "neighbour_id", "cosine", "rank")
+    return _near(spark, sf_dir, None)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p3_neighbours(spark, sf_dir)
+    near = _near(spark, sf_dir, neighbours.MIN_COSINE)
     return near.select("src", F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
 
 

@@ -97,6 +97,20 @@ def test_neighbours_recall_and_hot_cell(spark, monkeypatch, cap):
     assert {r.neighbour_id for r in got if r.id == 2039} == {0, 2000, 2001, 2002, 2003}
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_nearest_of_unrelated_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "BLOCKS_PER_TASK", 3)
+    rng = np.random.default_rng(5)
+    vectors = {i: np.float32(v) for i, v in enumerate(rng.normal(size=(200, 64)))} | {300 + i: np.float32(np.eye(64)[i]) for i in range(9)} | {400 + i: np.float32(np.eye(64)[0] * (i + 2)) for i in range(8)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id long, e array<float>")
+    got = {(r.id, r.neighbour_id) for r in neighbours.neighbours(df, "id", "e").collect()}
+    assert got == brute_neighbours(vectors, least=-1)
+    few = {i: vectors[i] for i in (0, 1, 2)}
+    got = neighbours.neighbours(df.filter("id < 3"), "id", "e").collect()
+    assert {(r.id, r.neighbour_id) for r in got} == brute_neighbours(few, least=-1) and len(got) == 6
+
+
 def test_no_vectors(spark):
     assert neighbours.neighbours(spark.createDataFrame([(1, None)], "id long, e array<float>"), "id", "e").collect() == []
 
