@@ -1,9 +1,8 @@
 """The most similar vectors of every vector, by cosine.
 
-Collision-counting hashing. Every vector is projected on single directions; in each sorted array of projections a window around the query
-collects collisions, and the windows of the same arrays widen from radius to radius (virtual rehashing) until a query has enough.
-Vectors that collide in more than a threshold of the arrays are verified exactly. Since windows of single projections hold a share of all
-rows, the arrays are not laid over the whole table but over shards: the cells of pivots drawn from the data, each vector in several.
+Without a least cosine every vector is compared with every other, block by block: unrelated vectors of 64 dimensions have no structure
+that a search could skip by. With one, vectors are compared within the cells of pivots drawn from the data, each vector in several; pivots
+that lie close together share a cell, so that a crowd of vectors is not scattered over many.
 """
 
 from __future__ import annotations
@@ -21,20 +20,16 @@ from mnemoframe.runtime import blocked, checkpointed, over_groups, partitions_fo
 
 DIMENSIONS = 64
 NEIGHBOURS, MIN_COSINE = 5, 0.9
-#: Single projections, and how many of them two vectors must collide in: of 64, 51 are expected at MIN_COSINE (standard deviation 3.3),
-#: 24 (3.9) of two unrelated vectors that share a cell.
-ARRAYS, COLLISIONS = 64, 40
-#: Half width of a window at radius 1, in units of the distance at MIN_COSINE over the root of the dimensions: 1.25 standard deviations.
-WINDOW = 1.25
 #: Sets of pivots and cells of each set that a vector goes to. Pivots are a sample of at most MOST_PIVOTS vectors a set, by hash.
 PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 4096, 150
+#: Pivots of a set with this cosine or more are one cell.
+JOINED = 0.7
 #: Rows of one task's group; larger cells are compared block by block.
-CELL_CAP = 1024
+CELL_CAP = 8192
 #: Rows of a block where all are compared with all, and blocks that one task goes over.
 BLOCK, BLOCKS_PER_TASK = 4096, 32
 #: How far a cosine of float32 may be off.
 _FLOAT32 = 4e-6
-_SCALE = 200.0  # steps of the quantised projections in one unit
 
 
 def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -68,113 +63,41 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _directions() -> np.ndarray:
-    """ARRAYS orthonormal directions, the same everywhere."""
-    q, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(DIMENSIONS, DIMENSIONS)))
-    return q[:, :ARRAYS].astype(np.float32)
+def _merged(pivots: np.ndarray) -> np.ndarray:
+    """For each pivot the least number of those that it is linked to by cosines of JOINED or more."""
+    label = np.arange(len(pivots))
+    x, y = np.nonzero(pivots @ pivots.T >= JOINED)
+    while (label[x] != label[y]).any():
+        np.minimum.at(label, x, label[y])
+    return label
 
 
 def _cells(classes: DataFrame, n: int) -> DataFrame:
-    """(cell, cls, proj): each class in the CELLS nearest cells of each set of pivots, with its quantised projections."""
+    """(cell, cls, vec): each class in the cells of its CELLS nearest pivots of each set."""
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
     # three times as many as needed are kept by hash, so that tasks do not each send a full sample to the driver
     share = min(1.0, 3 * per_set * PIVOT_SETS / n)
     hashed = classes.select("vec", F.xxhash64("cls").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     sample = hashed.orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
     pivots = _matrix(sample["vec"]).astype(np.float32)
-    held = classes.sparkSession.sparkContext.broadcast(np.stack([pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]))
+    sets = [pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]
+    held = classes.sparkSession.sparkContext.broadcast([(own, _merged(own)) for own in sets])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        axes = _directions()
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.iloc[lo : lo + 1000]
-                unit = _matrix(part["vec"]).astype(np.float32)
-                proj = (np.clip(np.rint(unit @ axes * _SCALE), -100, 100) + 128).astype(np.uint8)
-                packed, out = [p.tobytes() for p in proj], []
-                for k, own in enumerate(held.value):
+                unit, out = _matrix(part["vec"]).astype(np.float32), []
+                for k, (own, label) in enumerate(held.value):
                     s = unit @ own.T
                     row = np.arange(len(s))
                     for _ in range(min(CELLS, s.shape[1])):
                         best = s.argmax(axis=1)
                         s[row, best] = -np.inf
-                        out.append(pd.DataFrame({"cell": best.astype(np.int64) * PIVOT_SETS + k, "cls": part["cls"].to_numpy(), "proj": packed}))
-                yield pd.concat(out, ignore_index=True)
+                        out.append(pd.DataFrame({"cell": label[best] * PIVOT_SETS + k, "cls": part["cls"].to_numpy(), "vec": part["vec"].to_numpy()}))
+                yield pd.concat(out, ignore_index=True).drop_duplicates(["cell", "cls"])
 
-    return classes.select("cls", "vec").mapInPandas(run, "cell long, cls long, proj binary")
-
-
-def _count_collisions(arrays: np.ndarray, query: slice | np.ndarray, rows: slice, half: int) -> np.ndarray:
-    """For each query the number of arrays in which each row lies in the window of half width around it.
-
-    arrays holds one array of bytes for each projection. A window of a sorted array is a range of its values, so all windows of an array
-    are taken at once by value; bytes wrap below the window, and values are at most 200 apart, so nothing wraps back into it.
-    """
-    own = arrays[:, query]
-    n, m = own.shape[1], arrays[0, rows].shape[0]
-    counts, apart, inside = np.zeros((n, m), np.uint8), np.empty((n, m), np.uint8), np.empty((n, m), bool)
-    for values, centre in zip(arrays, own):
-        np.subtract(values[None, rows], (centre - np.uint8(half))[:, None], out=apart)
-        np.less_equal(apart, np.uint8(2 * half), out=inside)
-        np.add(counts, inside.view(np.uint8), out=counts)
-    return counts
-
-
-def _candidates(k: int, min_cosine: float):
-    unit_half = WINDOW * math.sqrt(2 - 2 * min_cosine) / math.sqrt(DIMENSIONS) * _SCALE
-
-    def fn(rows: pd.DataFrame) -> pd.DataFrame:
-        group, cls, block, cross, cell = (rows[c].to_numpy() for c in ("_group", "cls", "_block", "_cross", "cell"))
-        proj = np.frombuffer(b"".join(rows["proj"]), np.uint8).reshape(-1, ARRAYS)
-        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])])
-        found = []
-
-        def keep(x: np.ndarray, y: np.ndarray) -> None:
-            ok = cls[x] != cls[y]
-            ok &= ~cross[x] | (block[x] != block[y])
-            a, b = cls[x[ok]], cls[y[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-
-        for s, e in zip(starts, np.r_[starts[1:], len(group)]):
-            if e - s < 2:
-                continue
-            arrays = np.ascontiguousarray(proj[s:e].T)
-            if e - s <= CELL_CAP // 2:  # few rows: all at the last radius, each pair once
-                for lo in range(0, e - s, 64):
-                    i, j = np.nonzero(_count_collisions(arrays, slice(lo, lo + 64), slice(lo, None), round(unit_half)) >= COLLISIONS)
-                    ok = i < j
-                    keep(s + lo + i[ok], s + lo + j[ok])
-                continue
-            open_ = np.arange(e - s)
-            for radius in (0.25, 0.5, 1.0):  # a query with enough rows in the windows of one radius does not widen them
-                left = []
-                for lo in range(0, len(open_), 64):
-                    q = open_[lo : lo + 64]
-                    hit = _count_collisions(arrays, q, slice(None), round(unit_half * radius)) >= COLLISIONS
-                    hit[np.arange(len(q)), q] = False
-                    if cross[s]:
-                        hit &= block[s + q][:, None] != block[None, s:e]
-                    enough = hit.sum(axis=1) >= 3 * k
-                    i, j = np.nonzero(hit if radius == 1.0 else hit & enough[:, None])
-                    keep(s + q[i], s + j)
-                    left.append(q[~enough])
-                open_ = np.concatenate(left) if left else open_[:0]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return fn
-
-
-def _cosines(pairs: DataFrame, min_cosine: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            cosine = (_matrix(batch["va"]) * _matrix(batch["vb"])).sum(axis=1)
-            keep = cosine >= min_cosine - 1e-9
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "cosine": cosine})[keep]
-
-    return pairs.mapInPandas(run, "a long, b long, cosine double")
+    return classes.select("cls", "vec").mapInPandas(run, "cell long, cls long, vec binary")
 
 
 def _k_best(k: int, row: np.ndarray, other: np.ndarray, cosine: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -207,6 +130,25 @@ def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, a
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _in_cells(k: int, min_cosine: float):
+    def fn(rows: pd.DataFrame) -> pd.DataFrame:
+        group, cls, block, cross, cell = (rows[c].to_numpy() for c in ("_group", "cls", "_block", "_cross", "cell"))
+        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])])
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for s, e in zip(starts, np.r_[starts[1:], len(group)]):
+            if e - s < 2:
+                continue
+            own, part = cls[s:e], block[s:e]
+            unit = _matrix(rows["vec"].iloc[s:e])
+            kind = part if cross[s] else own  # those of the same kind do not count
+            i, j, cosine = _nearest(unit, unit, k, np.full(e - s, min_cosine - 1e-9), lambda q: kind[q][:, None] == kind[None])
+            found.append(_k_best(k, own[i], own[j], cosine))
+        a, b, cosine = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b, "cosine": cosine}).drop_duplicates(["a", "b"])
+
+    return fn
+
+
 def _all_with_all(classes: DataFrame, n: int, k: int) -> DataFrame:
     """(a, b, cosine): the k nearest other classes of each, ties by their first ids; n * n cosines."""
     count = partitions_for(n, BLOCK)
@@ -266,15 +208,12 @@ def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS,
         return spark.createDataFrame([], "id long, neighbour_id long, cosine double, rank int")
     if min_cosine is None:
         found = _all_with_all(classes, n, k)
-        directed = checkpointed(found)
     else:
-        pairs = over_groups(blocked(_cells(classes, n), "cell", "cls", CELL_CAP), "_group", _candidates(k, min_cosine), "a long, b long").distinct()
-        with_a = pairs.join(classes.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a")
-        verified = checkpointed(_cosines(with_a.join(classes.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b"), min_cosine))
-        directed = verified.select("a", "b", "cosine").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        found = over_groups(blocked(_cells(classes, n), "cell", "cls", CELL_CAP), "_group", _in_cells(k, min_cosine), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    verified = checkpointed(found)
     by_id = Window.partitionBy("cls").orderBy("id")
     least = members.withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") <= k + 1).select("cls", "id")
-    near = directed.join(least.select(F.col("cls").alias("b"), F.col("id").alias("neighbour_id")), "b").select("a", "neighbour_id", "cosine")
+    near = verified.join(least.select(F.col("cls").alias("b"), F.col("id").alias("neighbour_id")), "b").select("a", "neighbour_id", "cosine")
     own = least.select(F.col("cls").alias("a"), F.col("id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour_id")
     lists = near.unionByName(own).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")

@@ -111,6 +111,19 @@ def test_nearest_of_unrelated_vectors(spark, monkeypatch, block):
     assert {(r.id, r.neighbour_id) for r in got} == brute_neighbours(few, least=-1) and len(got) == 6
 
 
+@pytest.mark.parametrize("cap", [8192, 200])
+def test_neighbours_in_a_dense_third(spark, monkeypatch, cap):
+    monkeypatch.setattr(neighbours, "CELL_CAP", cap)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    m = np.float32(np.concatenate([rng.normal(size=(4000, 64)), centre + rng.normal(size=(2000, 64)) * 0.2]))
+    vectors = dict(enumerate(m))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id long, e array<float>")
+    got = {(r.id, r.neighbour_id) for r in neighbours.neighbours(df, "id", "e", min_cosine=0.9).collect()}
+    expected = brute_neighbours(vectors)
+    assert len(expected) == 10000 and len(got & expected) >= 0.999 * len(expected)
+
+
 def test_no_vectors(spark):
     assert neighbours.neighbours(spark.createDataFrame([(1, None)], "id long, e array<float>"), "id", "e").collect() == []
 
