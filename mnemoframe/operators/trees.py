@@ -144,10 +144,11 @@ def routed(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return nodes.groupBy("entity_id").cogroup(facts.groupBy("entity_id")).applyInPandas(run, "entity_id string, fact_id long, node_id long")
 
 
-def beam(nodes: DataFrame, scores: DataFrame, width: int = 3, rounds: int = 32) -> DataFrame:
+def beam(nodes: DataFrame, scores: DataFrame, width: int = 3) -> DataFrame:
     """(root_id, fact_id): from every root the `width` best children of each node, level by level; leaves in the beam give their facts.
 
-    scores is (id, score); a node without one scores 0, ties go to the smaller id. Children are ranked once, before the walk.
+    scores is (id, score); a node without one scores 0, ties go to the smaller id. Children are ranked once, before the walk,
+    which ends at the last level: from a root no circle can be met.
     """
     w = Window.partitionBy("parent_id").orderBy(F.desc("score"), "id")
     kids = nodes.filter("parent_id is not null").join(scores, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -155,12 +156,15 @@ def beam(nodes: DataFrame, scores: DataFrame, width: int = 3, rounds: int = 32)
     known = nodes.select(F.col("id").alias("k"))
     best = checkpointed(best)
     level = nodes.join(known, F.col("parent_id") == F.col("k"), "left").filter("k is null").select(F.col("id").alias("root_id"), F.col("id").alias("at"))
-    found = None
-    for _ in range(rounds):
+    found, depth = None, 0
+    while True:
         level = checkpointed(level.join(best, F.col("at") == F.col("p")).select("root_id", F.col("id").alias("at"), "fact_id"))
         hit = level.filter("fact_id is not null").select("root_id", "fact_id")
         found = hit if found is None else found.unionByName(hit)
         level = level.filter("fact_id is null").select("root_id", "at")
         if level.isEmpty():
             break
+        depth += 1
+        if depth % 16 == 0:  # else the plan grows with the depth
+            found = checkpointed(found)
     return found.distinct()

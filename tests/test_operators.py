@@ -196,3 +196,9 @@ def test_store_messages_and_hooks(spark):
     assert all(r.ok == r.got for r in df.withColumn("got", I.valid_fact(F.col("t"))).collect())
     n = I.numbered(spark.range(1000).withColumnRenamed("id", "k"), [F.col("k")], 10).collect()
     assert [r.id for r in sorted(n, key=lambda r: r.k)] == list(range(11, 1011))
+
+
+def test_beam_of_a_deep_chain(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 7 if i == 40 else None) for i in range(41)], "id long, parent_id long, fact_id long")
+    got = G.beam(nodes, spark.createDataFrame([], "id long, score double")).collect()
+    assert [(r.root_id, r.fact_id) for r in got] == [(0, 7)]
