@@ -328,6 +328,11 @@ def t3_chronological(c):
     return c.facts.orderBy(F.coalesce(F.nullif("fact_ts", F.lit("")), F.lit("zzz")), "id").limit(100).select("id")
 
 
+@query("SELECT id, coalesce(nullif(fact_ts, ''), 'zzz') AS sort_key FROM fcts ORDER BY sort_key, id")
+def t3_whole_order(c):
+    return c.facts.select("id", F.coalesce(F.nullif("fact_ts", F.lit("")), F.lit("zzz")).alias("sort_key")).orderBy("sort_key", "id")
+
+
 @query("SELECT session_id FROM summaries ORDER BY session_id OFFSET (SELECT least(100000, (count(*) - 1) // 20 * 20) FROM summaries) LIMIT 20")
 def t4_last_page(c):
     return M.with_clamped_page(c.summaries.select("session_id"), [F.col("session_id")], 100000, 20)

@@ -202,3 +202,13 @@ def test_beam_of_a_deep_chain(spark):
     nodes = spark.createDataFrame([(i, i - 1 if i else None, 7 if i == 40 else None) for i in range(41)], "id long, parent_id long, fact_id long")
     got = G.beam(nodes, spark.createDataFrame([], "id long, score double")).collect()
     assert [(r.root_id, r.fact_id) for r in got] == [(0, 7)]
+
+
+def test_whole_order_and_places(spark):
+    from mnemoframe.plans import scalars
+
+    class C:
+        facts = spark.createDataFrame([(i, None if i % 3 == 0 else "" if i % 3 == 1 else f"2024-{i:04}") for i in range(150)], "id long, fact_ts string")
+
+    got = scalars.t3_whole_order(C).collect()
+    assert [r.id for r in got] == [*range(2, 150, 3), *sorted([*range(0, 150, 3), *range(1, 150, 3)])] and got[-1].sort_key == "zzz"
