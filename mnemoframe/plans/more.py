@@ -151,6 +151,12 @@ def w2_ranked_nodes(c):
     return c.nodes.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("id", "entity_id")
 
 
+@query("SELECT id, entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY id) - 1 AS place FROM nds")
+def w2_places(c):
+    w = Window.partitionBy("entity_id").orderBy("id")
+    return c.nodes.select("id", "entity_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
 @query("SELECT i AS pos, f.id, f.text FROM (VALUES (0, 40), (1, 2), (2, 17), (3, 999999999)) v(i, id) JOIN fcts f USING (id)")
 def t5_in_given_order(c):
     wanted = c.spark.createDataFrame([(0, 40), (1, 2), (2, 17), (3, 999999999)], "pos int, id long")

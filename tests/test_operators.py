@@ -205,10 +205,12 @@ def test_beam_of_a_deep_chain(spark):
 
 
 def test_whole_order_and_places(spark):
-    from mnemoframe.plans import scalars
+    from mnemoframe.plans import more, scalars
 
     class C:
         facts = spark.createDataFrame([(i, None if i % 3 == 0 else "" if i % 3 == 1 else f"2024-{i:04}") for i in range(150)], "id long, fact_ts string")
+        nodes = spark.createDataFrame([(i, "e") for i in range(9)], "id long, entity_id string")
 
     got = scalars.t3_whole_order(C).collect()
     assert [r.id for r in got] == [*range(2, 150, 3), *sorted([*range(0, 150, 3), *range(1, 150, 3)])] and got[-1].sort_key == "zzz"
+    assert sorted((r.id, r.place) for r in more.w2_places(C).collect()) == [(i, i) for i in range(9)]
