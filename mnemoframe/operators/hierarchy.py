@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.runtime import checkpointed, partitions_for
+from mnemoframe.runtime import checkpointed, partitions_for, skew_join
 
 #: Nodes of one fragment: 1 << 18 nodes are about 10 MB of numpy arrays.
 FRAGMENT_ROWS = 1 << 18
@@ -89,7 +89,7 @@ def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFra
         return frag.select("id", F.when(F.col("cyclic"), CYCLE).otherwise(F.col("top")).alias("root"), F.when(~F.col("cyclic"), F.col("dist")).alias("depth"), *([F.col("chain").alias("above")] if with_paths else []))
     tops = frag.filter("id = top and not cyclic").select("id", "loc", "out", "w_out", *(["seg_out"] if with_paths else []))
     entry = frag.select(F.col("id").alias("e_id"), F.col("top").alias("e_top"), F.col("dist").alias("e_dist"), F.col("cyclic").alias("e_cyclic"), *([F.col("chain").alias("e_chain")] if with_paths else []))
-    edge = tops.join(entry, F.col("out") == F.col("e_id"), "left")
+    edge = skew_join(tops, entry, "out", "e_id", "id")
     parent = F.when(F.col("e_cyclic"), F.col("id")).otherwise(F.col("e_top"))
     quotient = edge.select("id", "loc", parent.alias("parent"), (F.col("w_out") + F.coalesce("e_dist", F.lit(0))).alias("w"), *([F.when(F.col("e_id").isNotNull(), F.concat("seg_out", F.coalesce("e_chain", none))).otherwise(none).alias("seg")] if with_paths else []))
     quotient = checkpointed(quotient)
@@ -141,7 +141,7 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     """
     base = checkpointed(latest_nodes(nodes, id_col, parent_col, order_col, tree_col))
     known = base.select(F.col("id").alias("k"))
-    linked = base.join(known, F.col("parent") == F.col("k"), "left")
+    linked = skew_join(base, known, "parent", "k", "id")
     q = linked.select("id", "loc", F.col("k").alias("parent"), F.lit(1).cast("long").alias("w"), *([F.when(F.col("k").isNotNull(), F.array("k")).otherwise(F.array().cast("array<long>")).alias("seg")] if with_paths else []))
     rows = fragment_rows or (FRAGMENT_ROWS_PATHS if with_paths else FRAGMENT_ROWS)
     done = _solve(checkpointed(q), rows, with_paths)

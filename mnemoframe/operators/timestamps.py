@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.runtime import checkpointed, few_rows
+
 #: Month names in English, German, Spanish and French, in full and shortened, by number.
 MONTHS = {
     1: "january jan januar jänner enero ene janvier janv",
@@ -48,7 +50,7 @@ _DATES = [
 ]
 _CLOCK = "(\\d{1,2})[:h](\\d{2})(?::(\\d{2})(?:[.,](\\d+))?)?(?: ?([ap])\\.?m\\.?)?(?: uhr)?"
 _BASIC_CLOCK = "(\\d{2})(\\d{2})(\\d{2})?(?:[.,](\\d+))?()"
-_ZONE = "( ?z| ?(?:gmt|utc)? ?[-+−]\\d{1,2}(?::?\\d{2})?(?::?\\d{2})?| ?\\[?[^\\W\\d]+/[^\\W\\d]+(?:[/+\\-][\\w+\\-]+)*\\]?| [^\\W\\d_]{2,5}|)"
+_ZONE = "( ?z| ?(?:gmt|utc)? ?[-+−]\\d{1,2}(?::?\\d{2})?(?::?\\d{2})?| ?\\[?[^\\W\\d]+/[^\\W\\d]+(?:[/+\\-][/\\w+\\-]*)?\\]?| [^\\W\\d_]{2,5}|)"
 _JOIN = "(?:t| at | à | um | on |, | )"
 
 
@@ -76,11 +78,10 @@ def parse_text(raw: str | None) -> tuple[int, str] | None:
     """(microseconds of the stated clock since 1970, or of the instant; what was stated of a zone, '' if nothing), or None.
 
     None for null, blank and meaningless texts, dates or times alone, and days or hours that do not exist. Digits alone are Unix time by
-    their number: 10 seconds, 13 milliseconds, 16 microseconds. More than six fraction digits are cut off. Texts of over 80 characters
-    state no time.
+    their number: 10 seconds, 13 milliseconds, 16 microseconds. More than six fraction digits are cut off.
     """
     text = " ".join(raw.lower().split()) if raw else ""
-    if not text or len(text) > 80:
+    if not text:
         return None
     if text.isascii() and text.isdigit():
         return (int(text) * _UNIX[len(text)], "z") if len(text) in _UNIX else None
@@ -191,8 +192,9 @@ def to_utc(times: DataFrame, raw_col: str, abbrevs: DataFrame, default_zone_col:
     offset before the change, so it moves forward), 'no_zone' (no or an unknown zone) or 'unparsed'. Rows and their columns stay as
     they are; an empty table gives an empty result.
     """
-    names = {r[0].lower(): int(r[1]) for r in abbrevs.select("abbr", "offset_minutes").limit(10_000).collect() if r[0] is not None and r[1] is not None}
-    parsed = times.withColumn("_p", parse_time(F.col(raw_col)))
+    names = {r[0].lower(): int(r[1]) for r in few_rows(abbrevs.filter("abbr is not null and offset_minutes is not null").select("abbr", "offset_minutes"))}
+    # written once: the spans that are wanted, and then the join, both need what was parsed
+    parsed = checkpointed(times.withColumn("_p", parse_time(F.col(raw_col))))
     zone = F.col("_p.zone")
     offset = stated_offset(zone)
     if names:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one group that one task may hold at once; larger groups are cut into blocks and compared block by block.
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this machine only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if all runs in this one process (as in tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     if spark not in _TEMPORARY:
         _TEMPORARY[spark] = tempfile.mkdtemp(prefix="mnemoframe-")
     return "file://" + _TEMPORARY[spark]
@@ -33,19 +36,24 @@ def _shared_folder(spark: SparkSession) -> str:
 _TEMPORARY: dict[SparkSession, str] = {}
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The tables of this application only: others may share the folder."""
+    return f"{_shared_folder(spark)}/mnemoframe-tables/{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again: it cuts the lineage and survives lost executors.
 
     An RDD checkpoint would compute everything twice and store whole rows; a table is written once, by column, and read by column.
     """
-    path = f"{_shared_folder(df.sparkSession)}/mnemoframe-tables/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Delete all that checkpointed() wrote; nothing lazy that rests on it may be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/mnemoframe-tables")
+    """Delete all that checkpointed() wrote in this application; nothing lazy that rests on it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -53,6 +61,14 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))
 
 
+def few_rows(df: DataFrame, most: int = 100_000) -> list[Row]:
+    """The rows of a table that is small by its nature; a larger one is an error, it is never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of {df.columns}")
+    return rows
+
+
 def hot_keys(df: DataFrame, key: str, cap: int) -> DataFrame:
     """(key, n_blocks) of the keys with more than cap rows. At most rows/cap of them, counted with map-side partial sums."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap).select(key, F.ceil(F.col("_n") / cap).cast("int").alias("_blocks"))
@@ -79,6 +95,24 @@ def blocked(df: DataFrame, key: str, spread: str, cap: int = GROUP_CAP, counted:
     return out.withColumn("_group", group).withColumn("_cross", lo != hi).drop("_other", "_blocks")
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, other: str, spread: str, cap: int = 1 << 17) -> DataFrame:
+    """left join of left.key with right.other, in which a key of left may be null or hold any share of its rows.
+
+    Null keys are not shuffled. Keys with more than cap rows are dealt to blocks by the hash of spread, and the rows of right with such a key,
+    which should be few, are copied to each block.
+    """
+    held = left.filter(F.col(key).isNotNull())
+    none = left.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns])
+    hot = checkpointed(hot_keys(held.select(key), key, cap).withColumnRenamed(key, "_hot"))
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return held.join(right, F.col(key) == F.col(other), "left").select(*left.columns, *right.columns).unionByName(none)
+    small = F.broadcast(hot) if found <= BROADCAST_KEYS else hot
+    a = held.join(small, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_blocks", F.lit(1))).cast("int")).drop("_hot", "_blocks")
+    b = right.join(small, F.col(other) == F.col("_hot"), "left").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_hot", "_blocks")
+    return a.join(b, (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_salt2")), "left").select(*left.columns, *right.columns).unionByName(none)
+
+
 def over_groups(df: DataFrame, group: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, num: int | None = None) -> DataFrame:
     """Apply fn to batches that always hold whole groups, in one sorted pass without a Python call for each group.
 
@@ -107,17 +141,18 @@ def over_groups(df: DataFrame, group: str, fn: Callable[[pd.DataFrame], pd.DataF
     return parts.mapInPandas(run, schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): (id, comp), comp being the smallest id of the component.
 
     Alternating large-star and small-star steps: each is one aggregation with map-side minimum and one join, and needs O(log n)
-    rounds. Links stay distributed; each round is checkpointed. Nulls are dropped, self-loops kept as single members.
+    rounds; the last is the one that changes nothing. Links stay distributed; each round is checkpointed. Nulls are dropped, self-loops kept as
+    single members.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
     nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     cur = checkpointed(e.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
