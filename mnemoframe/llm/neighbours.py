@@ -1,14 +1,17 @@
 """The most similar vectors of every vector, by cosine.
 
 Without a least cosine every vector is compared with every other, block by block: unrelated vectors of 64 dimensions have no structure
-that a search could skip by. With one, vectors are compared within the cells of pivots drawn from the data, each vector in several; pivots
-that lie close together share a cell, so that a crowd of vectors is not scattered over many.
+that a search could skip by. With one, the table is sharded by pivots drawn from the data, each vector in several cells, as a window of the
+least cosine on a random direction holds a third of all unrelated vectors. In every cell the search counts collisions: the rows stand
+in single-projection sorted arrays, windows around each query are widened by virtual rehashing, and what collides in enough of the arrays is
+verified. Pivots that lie close together share a cell, so that a crowd of vectors is not scattered over many.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,12 @@ from mnemoframe.runtime import blocked, checkpointed, over_groups, partitions_fo
 DIMENSIONS = 64
 NEIGHBOURS, MIN_COSINE = 5, 0.9
 #: Sets of pivots and cells of each set that a vector goes to. Pivots are a sample of at most MOST_PIVOTS vectors a set, by hash.
-PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 4096, 150
+#: They stand in two tiers: a vector looks at the pivots of its nearest guides only, so the work of a row grows with the square root of their number.
+PIVOT_SETS, CELLS, MOST_PIVOTS, ROWS_PER_PIVOT = 2, 2, 1 << 16, 150
+GUIDES_OF_PIVOT, GUIDES_OF_ROW = 3, 8
+#: Sorted arrays of a cell, windows in which a candidate must lie, and their half width for a radius of 1. Of vectors at just the radius 95 % lie in one
+#: window, so that less than one in two thousand misses the count; closer ones miss it less.
+PROJECTIONS, MATCHES, HALF_WINDOW = 24, 19, 2.0
 #: Pivots of a set with this cosine or more are one cell.
 JOINED = 0.7
 #: Rows of one task's group; larger cells are compared block by block.
@@ -63,15 +71,49 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _merged(pivots: np.ndarray) -> np.ndarray:
+def _merged(pivots: np.ndarray, part: int = 512) -> np.ndarray:
     """For each pivot the least number of those that it is linked to by cosines of JOINED or more."""
+    pairs = [np.nonzero(pivots[lo : lo + part] @ pivots.T >= JOINED) for lo in range(0, len(pivots), part)]
+    x, y = np.concatenate([i + lo for (i, _), lo in zip(pairs, range(0, len(pivots), part))]), np.concatenate([j for _, j in pairs])
     label = np.arange(len(pivots))
-    x, y = np.nonzero(pivots @ pivots.T >= JOINED)
     while (label[x] != label[y]).any():
         np.minimum.at(label, x, label[y])
     return label
 
 
+class _Pivots:
+    """Pivots of one set in two tiers: guides, each with the pivots that have it among their nearest GUIDES_OF_PIVOT guides."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots, self.label = pivots, _merged(pivots)
+        self.guides = pivots[: math.isqrt(len(pivots) - 1) + 1]
+        own = self._best(pivots @ self.guides.T, GUIDES_OF_PIVOT)
+        self.lists = [np.flatnonzero((own == g).any(axis=1)) for g in range(len(self.guides))]
+
+    @staticmethod
+    def _best(s: np.ndarray, n: int) -> np.ndarray:
+        """Columns of the n largest of each row."""
+        n = min(n, s.shape[1])
+        return np.argpartition(s, -n, axis=1)[:, -n:]
+
+    def nearest(self, unit: np.ndarray, n: int) -> np.ndarray:
+        """For each row the n best pivots among the lists of its nearest GUIDES_OF_ROW guides; -1 where there are fewer."""
+        near = self._best(unit @ self.guides.T, GUIDES_OF_ROW)
+        kept, cosine = np.full((len(unit), n), -1), np.full((len(unit), n), -2.0, np.float32)
+        for g, members in enumerate(self.lists):
+            rows = np.flatnonzero((near == g).any(axis=1))
+            if not len(rows) or not len(members):
+                continue
+            s = unit[rows] @ self.pivots[members].T
+            best = self._best(s, n)
+            found, value = members[best], np.take_along_axis(s, best, axis=1)
+            value[(found[:, :, None] == kept[rows][:, None, :]).any(axis=2)] = -3  # known from another list
+            found, value = np.concatenate([kept[rows], found], axis=1), np.concatenate([cosine[rows], value], axis=1)
+            top = self._best(value, n)
+            kept[rows], cosine[rows] = np.take_along_axis(found, top, axis=1), np.take_along_axis(value, top, axis=1)
+        return kept
+
+
 def _cells(classes: DataFrame, n: int) -> DataFrame:
     """(cell, cls, vec): each class in the cells of its CELLS nearest pivots of each set."""
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
@@ -81,20 +123,17 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
     sample = hashed.orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
     pivots = _matrix(sample["vec"]).astype(np.float32)
     sets = [pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]
-    held = classes.sparkSession.sparkContext.broadcast([(own, _merged(own)) for own in sets])
+    held = classes.sparkSession.sparkContext.broadcast([_Pivots(own) for own in sets])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
+            for lo in range(0, len(batch), 5000):
+                part = batch.iloc[lo : lo + 5000]
                 unit, out = _matrix(part["vec"]).astype(np.float32), []
-                for k, (own, label) in enumerate(held.value):
-                    s = unit @ own.T
-                    row = np.arange(len(s))
-                    for _ in range(min(CELLS, s.shape[1])):
-                        best = s.argmax(axis=1)
-                        s[row, best] = -np.inf
-                        out.append(pd.DataFrame({"cell": label[best] * PIVOT_SETS + k, "cls": part["cls"].to_numpy(), "vec": part["vec"].to_numpy()}))
+                for k, own in enumerate(held.value):
+                    for best in own.nearest(unit, CELLS).T:
+                        ok = best >= 0
+                        out.append(pd.DataFrame({"cell": own.label[best[ok]] * PIVOT_SETS + k, "cls": part["cls"].to_numpy()[ok], "vec": part["vec"].to_numpy()[ok]}))
                 yield pd.concat(out, ignore_index=True).drop_duplicates(["cell", "cls"])
 
     return classes.select("cls", "vec").mapInPandas(run, "cell long, cls long, vec binary")
@@ -130,6 +169,66 @@ def _nearest(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, a
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+@lru_cache(maxsize=1)
+def _directions() -> np.ndarray:
+    return np.random.default_rng(20240611).standard_normal((DIMENSIONS, PROJECTIONS))
+
+
+class _SortedArrays:
+    """The rows of one cell in PROJECTIONS sorted arrays, one for each random direction; windows around a query are cut out of each."""
+
+    def __init__(self, unit: np.ndarray) -> None:
+        self.at = unit @ _directions()
+        order = np.argsort(self.at, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(self.at, order, axis=0).T)
+        rank = np.empty((PROJECTIONS, len(unit)), np.uint16)  # a group has at most 2 * CELL_CAP rows
+        np.put_along_axis(rank, order.T, np.arange(len(unit), dtype=np.uint16)[None], axis=1)
+        self.rank = rank
+
+    def colliding(self, queries: np.ndarray, radius: float) -> np.ndarray:
+        """For each query (a row's index) which rows lie in its windows of HALF_WINDOW * radius to each side in at least MATCHES of the arrays."""
+        count = np.zeros((len(queries), self.rank.shape[1]), np.uint8)
+        for t in range(PROJECTIONS):
+            h = self.at[queries, t]
+            first = self.sorted[t].searchsorted(h - HALF_WINDOW * radius).astype(np.uint16)
+            width = self.sorted[t].searchsorted(h + HALF_WINDOW * radius, side="right").astype(np.uint16) - first
+            count += (self.rank[t][None] - first[:, None]) < width[:, None]  # unsigned: what is before the window is far behind it
+        return count >= MATCHES
+
+
+def _by_collisions(unit: np.ndarray, kind: np.ndarray, k: int, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine), among them the k nearest of every row that reach min_cosine. Rows of the same kind are not compared.
+
+    Virtual rehashing: windows begin with half the widest radius, and a query goes on to the widest unless k rows of the smaller radius are
+    verified, which no row outside of it can beat.
+    """
+    arrays, small = _SortedArrays(unit), unit.astype(np.float32)
+    widest = math.sqrt(max(0.0, 2 - 2 * min_cosine))
+    found = []
+    step = max(1, (1 << 18) // len(unit))
+    for lo in range(0, len(unit), step):
+        queries = np.arange(lo, min(lo + step, len(unit)))
+        for radius in (widest / 2, widest):
+            hit = arrays.colliding(queries, radius) & (kind[queries][:, None] != kind[None])
+            if 32 * np.count_nonzero(hit) > hit.size:  # a crowd: the same cosines by one product
+                i, j, cosine = _nearest(unit[queries], unit, k, np.full(len(queries), min_cosine - 1e-9), lambda part, hit=hit: ~hit[part])
+            else:
+                i, j = np.nonzero(hit)
+                cosine = np.einsum("ij,ij->i", small[queries[i]], small[j])
+                ok = cosine >= min_cosine - 1e-9 - _FLOAT32
+                i, j = i[ok], j[ok]
+                cosine = np.einsum("ij,ij->i", unit[queries[i]], unit[j]).round(12)
+                ok = cosine >= min_cosine - 1e-9
+                i, j, cosine = i[ok], j[ok], cosine[ok]
+            done = np.bincount(i[cosine >= 1 - radius * radius / 2], minlength=len(queries)) >= k
+            final = done[i] | (radius == widest)
+            found.append((queries[i[final]], j[final], cosine[final]))
+            queries = queries[~done]
+            if not len(queries):
+                break
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _in_cells(k: int, min_cosine: float):
     def fn(rows: pd.DataFrame) -> pd.DataFrame:
         group, cls, block, cross, cell = (rows[c].to_numpy() for c in ("_group", "cls", "_block", "_cross", "cell"))
@@ -138,10 +237,8 @@ def _in_cells(k: int, min_cosine: float):
         for s, e in zip(starts, np.r_[starts[1:], len(group)]):
             if e - s < 2:
                 continue
-            own, part = cls[s:e], block[s:e]
-            unit = _matrix(rows["vec"].iloc[s:e])
-            kind = part if cross[s] else own  # those of the same kind do not count
-            i, j, cosine = _nearest(unit, unit, k, np.full(e - s, min_cosine - 1e-9), lambda q: kind[q][:, None] == kind[None])
+            own = cls[s:e]
+            i, j, cosine = _by_collisions(_matrix(rows["vec"].iloc[s:e]), block[s:e] if cross[s] else own, k, min_cosine)
             found.append(_k_best(k, own[i], own[j], cosine))
         a, b, cosine = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"a": a, "b": b, "cosine": cosine}).drop_duplicates(["a", "b"])
@@ -149,9 +246,8 @@ def _in_cells(k: int, min_cosine: float):
     return fn
 
 
-def _all_with_all(classes: DataFrame, n: int, k: int) -> DataFrame:
-    """(a, b, cosine): the k nearest other classes of each, ties by their first ids; n * n cosines."""
-    count = partitions_for(n, BLOCK)
+def _all_with_all(asked: DataFrame, n_asked: int, classes: DataFrame, n: int, k: int) -> DataFrame:
+    """(a, b, cosine): the k nearest other classes of each asked one, ties by their first ids; n_asked * n cosines."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -159,19 +255,25 @@ def _all_with_all(classes: DataFrame, n: int, k: int) -> DataFrame:
             rows = pd.concat(held, ignore_index=True)
             yield pd.DataFrame({"at": [int(rows["cls"].iloc[0])], "cls": [rows["cls"].to_numpy(np.int64).tobytes()], "first": [rows["first"].to_numpy(np.int64).tobytes()], "vecs": [b"".join(rows["vec"])]})
 
-    blocks = checkpointed(classes.select("cls", "first", "vec").repartition(count, "cls").mapInPandas(pack, "at long, cls binary, first binary, vecs binary"))
-    others = blocks.select(F.col("at").alias("r_at"), F.col("cls").alias("r_cls"), F.col("first").alias("r_first"), F.col("vecs").alias("r_vecs")).repartition(partitions_for(count, BLOCKS_PER_TASK))
+    def packed(rows: DataFrame, size: int) -> DataFrame:
+        return checkpointed(rows.select("cls", "first", "vec").repartition(partitions_for(size, BLOCK), "cls").mapInPandas(pack, "at long, cls binary, first binary, vecs binary"))
+
+    blocks = packed(classes, n)
+    others = blocks.select(F.col("cls").alias("r_cls"), F.col("first").alias("r_first"), F.col("vecs").alias("r_vecs")).repartition(partitions_for(partitions_for(n, BLOCK), BLOCKS_PER_TASK))
+    if asked is not classes:
+        blocks = packed(asked, n_asked)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple] = {}
         none = np.empty(0, np.int64)
         for batch in batches:
-            for at, cls, vecs, r_at, r_cls, r_first, r_vecs in zip(*(batch[c] for c in ("at", "cls", "vecs", "r_at", "r_cls", "r_first", "r_vecs"))):
+            for at, cls, vecs, r_cls, r_first, r_vecs in zip(*(batch[c] for c in ("at", "cls", "vecs", "r_cls", "r_first", "r_vecs"))):
                 if at not in best:
                     q = _matrix([vecs])
                     best[at] = (cls, q, np.full(len(q), -2.0), (none, none, np.empty(0), none))
                 cls, q, least, kept = best[at]
-                own = (lambda part: np.eye(len(q), dtype=bool)[part]) if at == r_at else None
+                a, b = np.frombuffer(cls, np.int64), np.frombuffer(r_cls, np.int64)
+                own = (lambda part, a=a, b=b: a[part][:, None] == b[None]) if len(np.intersect1d(a, b)) else None
                 i, j, cosine = _nearest(q, _matrix([r_vecs]), k, least, own)
                 new = (i, np.frombuffer(r_first, np.int64)[j], cosine, np.frombuffer(r_cls, np.int64)[j])
                 kept = _k_best(k, *(np.concatenate(x) for x in zip(kept, new)))
@@ -187,18 +289,21 @@ def _all_with_all(classes: DataFrame, n: int, k: int) -> DataFrame:
         kept = _k_best(k, *(np.frombuffer(b"".join(parts[c]), kind) for c, kind in columns.items()))
         return pd.DataFrame(dict(zip(columns, kept)))[["a", "b", "cosine"]]
 
-    met = blocks.repartition(count).crossJoin(others).select("at", "cls", "vecs", "r_at", "r_cls", "r_first", "r_vecs").mapInPandas(compare, "at long, a binary, first binary, cosine binary, b binary")
+    met = blocks.repartition(partitions_for(n_asked, BLOCK)).crossJoin(others).select("at", "cls", "vecs", "r_cls", "r_first", "r_vecs").mapInPandas(compare, "at long, a binary, first binary, cosine binary, b binary")
     return over_groups(met, "at", merge, "a long, b long, cosine double")
 
 
-def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS, min_cosine: float | None = None) -> DataFrame:
+def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS, min_cosine: float | None = None, every: int = 1) -> DataFrame:
     """(id, neighbour_id, cosine, rank): for every usable vector its k most similar other ids, or those with a cosine of min_cosine or more.
 
     Ties go to the smaller id; rank is from 1. Usable are exactly 64 finite values, not all zero, of any length; other rows and null ids
     take no part; copies of an id count once. Vectors of equal direction (to five digits) are one class and compared once, however
     many: of a class only the k+1 smallest ids can be among anyone's nearest. Without min_cosine the result is exact, at a cost that grows
     with the square of the classes. With it a pair may be missed; what is given is exact. Recall is measured in the tests and in the README.
+    every > 1 takes as queries the ids that it divides, searched among all rows, and so may not be joined with min_cosine.
     """
+    if every > 1 and min_cosine is not None:
+        raise ValueError("a search by least cosine takes all rows as queries")
     base = usable(table, id_col, vec_col)
     classes = checkpointed(base.groupBy("cls").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("first")))
     members = checkpointed(base.select("id", "cls").distinct())
@@ -207,7 +312,8 @@ def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS,
     if not n:
         return spark.createDataFrame([], "id long, neighbour_id long, cosine double, rank int")
     if min_cosine is None:
-        found = _all_with_all(classes, n, k)
+        asked = classes if every == 1 else checkpointed(classes.join(members.filter(F.col("id") % every == 0).select("cls").distinct(), "cls", "left_semi"))
+        found = _all_with_all(asked, n if every == 1 else asked.count(), classes, n, k)
     else:
         found = over_groups(blocked(_cells(classes, n), "cell", "cls", CELL_CAP), "_group", _in_cells(k, min_cosine), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     verified = checkpointed(found)
@@ -217,6 +323,6 @@ def neighbours(table: DataFrame, id_col: str, vec_col: str, k: int = NEIGHBOURS,
     own = least.select(F.col("cls").alias("a"), F.col("id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "neighbour_id")
     lists = near.unionByName(own).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
-    each = members.join(lists, F.col("cls") == F.col("a")).filter("id <> neighbour_id")
+    each = members.filter(F.col("id") % every == 0).join(lists, F.col("cls") == F.col("a")).filter("id <> neighbour_id")
     last = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id")
     return each.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("id", "neighbour_id", "cosine", "rank")

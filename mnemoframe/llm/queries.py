@@ -24,15 +24,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.same_pairs(names.same_names(table(spark, sf_dir, "entities")))
 
 
-def _near(spark: SparkSession, sf_dir: str, min_cosine: float | None) -> DataFrame:
-    facts = neighbours.neighbours(table(spark, sf_dir, "facts"), "id", "text_embedding", min_cosine=min_cosine).withColumn("src", F.lit("facts"))
-    entities = neighbours.neighbours(table(spark, sf_dir, "entities"), "id", "desc_embedding", min_cosine=min_cosine).withColumn("src", F.lit("entities"))
+def _near(spark: SparkSession, sf_dir: str, min_cosine: float | None = None, every: int = 1) -> DataFrame:
+    facts = neighbours.neighbours(table(spark, sf_dir, "facts"), "id", "text_embedding", min_cosine=min_cosine, every=every).withColumn("src", F.lit("facts"))
+    entities = neighbours.neighbours(table(spark, sf_dir, "entities"), "id", "desc_embedding", min_cosine=min_cosine, every=every).withColumn("src", F.lit("entities"))
     return facts.unionByName(entities).select("src", "id", "neighbour_id", "cosine", "rank")
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, id, neighbour_id, cosine, rank) of facts and entities."""
-    return _near(spark, sf_dir, None)
+    return _near(spark, sf_dir)
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, id, neighbour_id, rank): of every row whose id is divisible by 100 the five nearest among all rows, whatever their cosine."""
+    return _near(spark, sf_dir, every=100).drop("cosine")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pieces, p2_found, p3_found, p3_neighbours, p5_found, p5_conversations, p6_found, p6_groups, p8_ids, p9_found, p10_found)
+    found = (p1_found, p1_pieces, p2_found, p3_found, p3_neighbours, p3_search, p5_found, p5_conversations, p6_found, p6_groups, p8_ids, p9_found, p10_found)
     return {f.__name__: f for f in found}
 
 
@@ -100,8 +105,17 @@ msg AS (
 )"""
 
 
+def _nearest_sql(src: str, column: str) -> str:
+    return f"""
+      v AS (SELECT DISTINCT id, CAST({column} AS DOUBLE[]) AS x FROM {src} WHERE id IS NOT NULL AND len({column}) = 64
+            AND len(list_filter({column}, lambda y: y IS NOT NULL AND isfinite(y))) = 64 AND len(list_filter({column}, lambda y: y <> 0)) > 0),
+      c AS (SELECT q.id, o.id AS neighbour_id, round(list_cosine_similarity(q.x, o.x), 9) AS s FROM v q, v o WHERE q.id % 100 = 0 AND q.id <> o.id)
+      SELECT '{src}' AS src, id, neighbour_id, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_search": f"SELECT * FROM (WITH {_nearest_sql('facts', 'text_embedding')}) UNION ALL SELECT * FROM (WITH {_nearest_sql('entities', 'desc_embedding')})",
         "p1_found": rf"""
             SELECT DISTINCT chunk_id FROM file_chunks
             WHERE length(content) > 1200
