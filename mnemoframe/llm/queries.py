@@ -20,8 +20,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter("oversized and piece_index = 0").select("chunk_id")
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, task_id, grp): rows of a task with equal grp denote the same person or organisation."""
+    return names.same_names(table(spark, sf_dir, "entities"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.same_pairs(names.same_names(table(spark, sf_dir, "entities")))
+    return names.same_pairs(p2_groups(spark, sf_dir))
 
 
 def _near(spark: SparkSession, sf_dir: str, min_cosine: float | None = None, every: int = 1) -> DataFrame:
@@ -80,7 +85,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_pieces, p2_found, p3_found, p3_neighbours, p3_search, p5_found, p5_conversations, p6_found, p6_groups, p8_ids, p9_found, p10_found)
+    found = (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_neighbours, p3_search, p5_found, p5_conversations, p6_found, p6_groups, p8_ids, p9_found, p10_found)
     return {f.__name__: f for f in found}
 
 
