@@ -79,7 +79,7 @@ def _fragments(q: DataFrame, parts: int, with_paths: bool) -> DataFrame:
     return spread.mapInPandas(run, schema)
 
 
-def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFrame:
+def solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFrame:
     """(id, root, depth[, above]) of q, in which every parent is null or an id of q; above lists the ids over id, nearest first."""
     n = q.count()
     parts = partitions_for(n, rows)
@@ -94,7 +94,7 @@ def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFra
     quotient = edge.select("id", "loc", parent.alias("parent"), (F.col("w_out") + F.coalesce("e_dist", F.lit(0))).alias("w"), *([F.when(F.col("e_id").isNotNull(), F.concat("seg_out", F.coalesce("e_chain", none))).otherwise(none).alias("seg")] if with_paths else []))
     quotient = checkpointed(quotient)
     left = quotient.count()
-    further = _doubled(quotient, left, with_paths) if left > 0.7 * n else _solve(quotient, rows, with_paths, level + 1)
+    further = _doubled(quotient, left, with_paths) if left > 0.7 * n else solve(quotient, rows, with_paths, level + 1)
     solved = further.withColumnRenamed("id", "s_id").withColumnRenamed("depth", "s_depth")
     if with_paths:
         solved = solved.withColumnRenamed("above", "s_above")
@@ -104,7 +104,7 @@ def _solve(q: DataFrame, rows: int, with_paths: bool, level: int = 0) -> DataFra
 
 
 def _doubled(q: DataFrame, n: int, with_paths: bool) -> DataFrame:
-    """As _solve, by joins: each round takes every open node twice as far up. What is open after the logarithm of n rounds runs in a circle; it is left out before paths are joined up."""
+    """As solve, by joins: each round takes every open node twice as far up. What is open after the logarithm of n rounds runs in a circle; it is left out before paths are joined up."""
     none = F.array().cast("array<long>")
     root = F.col("parent").isNull()
     first = [F.col("id"), F.when(root, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(root, 0).otherwise(F.col("w")).alias("dist"), root.alias("done")]
@@ -144,7 +144,7 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     linked = skew_join(base, known, "parent", "k", "id")
     q = linked.select("id", "loc", F.col("k").alias("parent"), F.lit(1).cast("long").alias("w"), *([F.when(F.col("k").isNotNull(), F.array("k")).otherwise(F.array().cast("array<long>")).alias("seg")] if with_paths else []))
     rows = fragment_rows or (FRAGMENT_ROWS_PATHS if with_paths else FRAGMENT_ROWS)
-    done = _solve(checkpointed(q), rows, with_paths)
+    done = solve(checkpointed(q), rows, with_paths)
     path = F.when(F.col("root") == CYCLE, F.array().cast("array<long>")).otherwise(F.reverse(F.concat(F.array("id"), F.col("above")))) if with_paths else None
     return done.select("id", F.col("root").alias("root_id"), F.col("depth").cast("long").alias("depth"), *([path.alias("path")] if with_paths else []))
 
