@@ -58,12 +58,12 @@ def _fragments(q: DataFrame, parts: int, with_paths: bool) -> DataFrame:
         if not rows:
             return
         pdf = pd.concat(rows, ignore_index=True)
-        ids, has = pdf["id"].to_numpy(np.int64), pdf["parent"].notna().to_numpy()
-        parent = pdf["parent"].fillna(0).to_numpy(np.int64)
+        ids, has, parent = pdf["id"].to_numpy(np.int64), pdf["has"].to_numpy(bool), pdf["parent"].to_numpy(np.int64)
         weight = pdf["w"].to_numpy(np.int64)
         top, dist, cyclic, first = _chains(ids, parent, has, weight)
         dist = np.where(cyclic, 0, dist)
-        out = pd.DataFrame({"id": ids, "loc": pdf["loc"], "top": ids[top], "out": pdf["parent"].astype("Int64").array.take(top), "w_out": weight[top], "dist": dist, "cyclic": cyclic})
+        out = pd.DataFrame({"id": ids, "loc": pdf["loc"], "top": ids[top], "out": pd.array(parent, dtype="Int64").take(top), "w_out": weight[top], "dist": dist, "cyclic": cyclic})
+        out.loc[~has[top], "out"] = pd.NA
         if with_paths:
             seg = [[] if s is None else list(s) for s in pdf["seg"]]
             chain: list[list[int]] = [[] for _ in ids]
@@ -75,6 +75,8 @@ def _fragments(q: DataFrame, parts: int, with_paths: bool) -> DataFrame:
             yield out.iloc[lo : lo + 20_000]
 
     schema = "id long, loc long, top long, out long, w_out long, dist long, cyclic boolean" + ", chain array<long>, seg_out array<long>" * with_paths
+    # a column of nulls and numbers would reach numpy as floats, which do not hold every id
+    q = q.withColumn("has", F.col("parent").isNotNull()).withColumn("parent", F.coalesce("parent", F.lit(0).cast("long")))
     spread = q.repartition(1) if parts == 1 else q.repartitionByRange(parts, "loc", "id")
     return spread.mapInPandas(run, schema)
 

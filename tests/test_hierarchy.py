@@ -50,3 +50,9 @@ def test_descendants(spark):
 
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], SCHEMA), with_paths=True).collect() == []
+
+
+def test_ids_beyond_floats(spark):
+    top = 2**62
+    nodes = spark.createDataFrame([(top + i, top + i - 1 if i else None, 1) for i in range(6)], "id long, parent_id long, created_at int")
+    assert {tuple(r) for r in hierarchy(nodes).collect()} == {(top + i, top, i) for i in range(6)}
