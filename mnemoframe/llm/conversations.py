@@ -1,8 +1,9 @@
 """Rebuilding conversations from message rows.
 
-Rows come as export fragments: stretches of consecutive positions inside one block of ids. Fragments are matched by their message hashes
-(the end of one with the beginning of another), form an overlap graph, and unambiguous paths are merged. A session is sound if one path
-is left that starts at 0 or 1 and its turns keep the rules; all others are dropped.
+Rows come as export fragments: stretches that stand one after the other by id and go on position by position; a message exported again makes fragments
+overlap. Fragments are matched by their message hashes (the end of one with the beginning of another, or its next position with it), form an
+overlap graph, and unambiguous paths are merged. The turns are read off the merged path. A session is sound if one path is left that starts
+at 0 or 1 and its turns keep the rules; all others are dropped.
 """
 
 from __future__ import annotations
@@ -10,39 +11,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.runtime import checkpointed
+from mnemoframe.operators.hierarchy import CYCLE, FRAGMENT_ROWS, solve
+from mnemoframe.runtime import checkpointed, few_rows
 
-#: Ids of one block. A session's rows inside a block, and so the longest fragment, are at most so many distinct ids.
+#: Ids of one block, at whose bounds fragments end: a fragment has at most so many messages.
 BLOCK_IDS = 2048
 _BLANK = "^[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u0085\\u001c-\\u001f]*$"
 
 
 def with_roles(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """messages with role: the letters of speaker, lower-cased, looked up in aliases (alias, role), a table of a few rows; any other is 'user'."""
-    names = {r[0]: r[1] for r in aliases.filter("alias is not null").select("alias", "role").limit(10_000).collect()}
+    names = {r[0]: r[1] for r in few_rows(aliases.filter("alias is not null").select("alias", "role"))}
     key = F.lower(F.regexp_replace("speaker", "[^\\p{L}]", ""))
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key] if names else F.lit(None)
     return messages.withColumn("role", F.coalesce(known, F.lit("user")))
 
 
 def fragments(messages: DataFrame, aliases: DataFrame, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
-    """(turns, fragments). turns: (session_id, frag, position, h, role, blank, speaker, content), one row for each distinct message in each fragment.
-    fragments: one row for each, with first, last, hashes in order, and what the rules need.
+    """(turns, fragments). turns: (session_id, frag, at, role, speaker, content), the messages of each different fragment, at from 0.
+    fragments: one row for each, with first, last, hashes in order, and what the rules need. Equal fragments are one, however many.
     """
     blank = F.coalesce(F.col("speaker").rlike(_BLANK), F.lit(True)) | F.coalesce(F.col("content").rlike(_BLANK), F.lit(True))
     rows = with_roles(messages.filter("session_id is not null").select("id", "session_id", "position", "speaker", "content"), aliases)
-    rows = rows.select("session_id", F.floor(F.coalesce("id", F.lit(0)) / block_ids).alias("block"), "position", "speaker", "content", "role", blank.alias("blank")).distinct()
-    rows = rows.withColumn("h", F.xxhash64("position", "speaker", "content", F.col("speaker").isNull(), F.col("content").isNull()))
-    inside = Window.partitionBy("session_id", "block").orderBy("position", "h")  # at most block_ids rows
+    rows = rows.withColumn("blank", blank).withColumn("h", F.xxhash64("position", "speaker", "content", F.col("speaker").isNull(), F.col("content").isNull())).distinct()
+    # a message without an id stands alone, else all of them would share a block
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("id") / block_ids), F.col("h"))).withColumn("bare", F.col("id").isNull())
+    inside = Window.partitionBy("session_id", "bare", "block").orderBy("id", "position", "h")  # at most block_ids ids
     step = F.when(F.col("position") == F.lag("position").over(inside) + 1, 0).otherwise(1)
     rows = rows.withColumn("_new", step).withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    turns = checkpointed(rows.withColumn("frag", F.xxhash64("session_id", "block", "_run")).drop("block", "_new", "_run"))
+    rows = checkpointed(rows.withColumn("frag", F.xxhash64("session_id", "bare", "block", "_run")).drop("id", "bare", "block", "_new", "_run"))
     spoken = F.when(F.col("role") != "system", F.struct("position", "role"))
-    frags = turns.groupBy("session_id", "frag").agg(
+    frags = rows.groupBy("session_id", "frag").agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.sort_array(F.collect_list(F.struct("position", "h"))).alias("chain"),
         F.max("blank").alias("blank"), F.max(F.col("role") == "user").alias("user"), F.max(F.col("role") == "assistant").alias("assistant"), F.max(spoken).alias("spoken"), F.max(F.col("position").isNull()).alias("unplaced"),
     )
-    return turns, checkpointed(frags.withColumn("chain", F.transform("chain", lambda x: x["h"])))
+    frags = frags.withColumn("chain", F.transform("chain", lambda x: x["h"]))
+    same = frags.groupBy("session_id", F.xxhash64("chain").alias("_c")).agg(F.min_by(F.struct(*frags.columns), "frag").alias("f"))
+    frags = checkpointed(same.select("f.*"))
+    turns = rows.join(frags.select("frag", "first"), "frag").select("session_id", "frag", (F.col("position") - F.col("first")).alias("at"), "role", "speaker", "content")
+    return turns, frags
 
 
 def overlap_edges(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +75,8 @@ def overlap_edges(frags: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def best(side: str) -> DataFrame:
         top = links.groupBy(F.col(side).alias("_s")).agg(F.max("n").alias("_n"))
-        tied = links.join(top, (F.col(side) == F.col("_s")) & (F.col("n") == F.col("_n"))).groupBy(side).agg(F.min("a").alias("a_"), F.max("a").alias("a2"), F.min("b").alias("b_"), F.max("b").alias("b2"))
-        return tied.filter("a_ = a2 and b_ = b2").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+        tied = links.join(top, (F.col(side) == F.col("_s")) & (F.col("n") == F.col("_n"))).groupBy(side).agg(F.first("n").alias("n"), F.min("a").alias("a_"), F.max("a").alias("a2"), F.min("b").alias("b_"), F.max("b").alias("b2"))
+        return tied.filter("a_ = a2 and b_ = b2").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "n")
 
     return contained, checkpointed(best("a").intersect(best("b")))
 
@@ -88,19 +95,23 @@ def assemble(sessions: DataFrame, messages: DataFrame, aliases: DataFrame, block
     turns, frags = fragments(own, aliases, block_ids)
     contained, edges = overlap_edges(frags)
     kept = frags.join(contained, "frag", "left_anti")
-    # merging the links leaves as many paths as there are fragments without a link onwards
-    onward = edges.select(F.col("a").alias("frag")).distinct().withColumn("onward", F.lit(True))
-    per = kept.join(onward, "frag", "left").groupBy("session_id").agg(
-        F.sum(F.when(F.col("onward"), 0).otherwise(1)).alias("paths"), F.min("first").alias("first"), F.max("blank").alias("blank"), F.max("user").alias("user"),
-        F.max("assistant").alias("assistant"), F.max("spoken").alias("spoken"), F.max("unplaced").alias("unplaced"),
-    )
+    # every fragment hangs on the one before; what it adds to the path stands after all that those before it have added
+    before = kept.select(F.col("frag").alias("a"), F.size("chain").alias("a_size")).join(edges, "a").select(F.col("b").alias("frag"), F.col("a").alias("parent"), "n", (F.col("a_size") - F.col("n")).cast("long").alias("w"))
+    linked = checkpointed(kept.join(before, "frag", "left"))
+    paths = solve(linked.select(F.col("frag").alias("id"), F.xxhash64("session_id").alias("loc"), "parent", F.coalesce("w", F.lit(0)).cast("long").alias("w")), FRAGMENT_ROWS, False)
+    placed = checkpointed(linked.join(paths.withColumnRenamed("id", "frag"), "frag"))
+    per = placed.groupBy("session_id").agg(
+        (F.min("root") == F.max("root")).alias("one"), F.min(F.when(F.col("parent").isNull(), F.col("first"))).alias("first"), F.max("blank").alias("blank"), F.max("user").alias("user"),
+        F.max("assistant").alias("assistant"), F.max("spoken").alias("spoken"), F.max(F.col("unplaced") | (F.col("root") == CYCLE)).alias("unplaced"),
+    ).withColumn("known", F.lit(True))
     reason = (
-        F.when(F.col("paths").isNull(), "empty").when(F.col("blank"), "blank")
-        .when(F.col("unplaced") | (F.col("paths") != 1) | ~F.col("first").isin(0, 1), "broken")
+        F.when(F.col("known").isNull(), "empty").when(F.col("blank"), "blank")
+        .when(F.col("unplaced") | ~F.col("one") | ~F.coalesce(F.col("first").isin(0, 1), F.lit(False)), "broken")
         .when(~F.col("user"), "no_user").when(~F.col("assistant"), "no_assistant").when(F.col("spoken.role") != "assistant", "no_reply")
     )
-    verdicts = known.join(per, "session_id", "left").select("session_id", reason.alias("reason"), "first")
-    sound = verdicts.filter("reason is null").select("session_id", "first")
-    once = turns.drop("frag", "h", "blank").distinct()
-    conversations = once.join(sound, "session_id").select("session_id", (F.col("position") - F.col("first")).alias("turn"), "role", "speaker", "content")
-    return verdicts.select("session_id", "reason"), conversations
+    verdicts = known.join(per, "session_id", "left").select("session_id", reason.alias("reason"))
+    sound = verdicts.filter("reason is null").select("session_id")
+    # the merged path: of each fragment what lies behind its overlap with the one before
+    path = placed.join(sound, "session_id", "left_semi").select("frag", "depth", F.coalesce("n", F.lit(0)).alias("n"))
+    conversations = turns.join(path, "frag").filter("at >= n").select("session_id", (F.col("depth") + F.col("at")).cast("int").alias("turn"), "role", "speaker", "content")
+    return verdicts, conversations

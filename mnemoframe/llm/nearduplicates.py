@@ -3,7 +3,7 @@
 Texts with the same set of words form a class and only one of each is compared. Candidates come from an exact prefix filter: two sets
 that are alike enough share at least two words among the first few of a fixed order that puts rare words first. Candidates are
 pruned the Bayesian way: MinHash values are compared some at a time, and a pair is dropped once the posterior probability that it
-reaches the threshold is below a tolerance. What is left is verified exactly, first by a bound on the words not shared, then by the words.
+reaches the threshold is below a tolerance. What is left is verified exactly by the words.
 """
 
 from __future__ import annotations
@@ -26,10 +26,8 @@ from mnemoframe.runtime import GROUP_CAP, blocked, checkpointed, components, ove
 THRESHOLD = 0.7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 TOLERANCE = 1e-5
-#: MinHash values of one byte each, compared STEP at a time.
-HASHES, STEP = 16, 8
-#: Bits of the parity map, by which the words that two sets do not share are bounded from below.
-BITS = 128
+#: MinHash values of four bits each, compared STEP (one machine word) at a time.
+HASHES, STEP, NIBBLE = 64, 16, 16
 #: Words that the prefixes of two alike sets must share; the prefix is longer by as much.
 SHARED = 2
 #: Words that may count as frequent, and so be broadcast with their rank: 2**20 of 12 bytes are 12 MB.
@@ -53,32 +51,32 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 
-def minhash(hashes: np.ndarray) -> bytes:
-    """HASHES values of one byte: the low byte of the least image of the set under each of as many hash functions."""
+def minhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set HASHES values of four bits, STEP of them in a word: the low bits of the least image of the set under each of as many hash functions. Sets must have words."""
     a, b = _seeds()
-    with np.errstate(over="ignore"):
-        image = hashes.view(np.uint64)[:, None] * a[None, :] + b[None, :]
-        image ^= image >> np.uint64(29)
-        image *= np.uint64(0xBF58476D1CE4E5B9)
-        image ^= image >> np.uint64(32)
-    return image.min(axis=0).astype(np.uint8).tobytes()
-
-
-def parity_map(hashes: np.ndarray) -> bytes:
-    """BITS bits, each telling whether an odd number of the words falls on it: two sets differ in at least as many words as their maps in bits."""
-    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    out = np.empty((len(sets), HASHES // STEP), np.uint64)
+    for lo in range(0, len(sets), 500):
+        part = sets[lo : lo + 500]
+        starts = np.cumsum([0, *(len(s) for s in part[:-1])])
+        with np.errstate(over="ignore"):
+            image = np.concatenate(part).view(np.uint64)[:, None] * a[None, :] + b[None, :]
+            image ^= image >> np.uint64(29)
+            image *= np.uint64(0xBF58476D1CE4E5B9)
+            image ^= image >> np.uint64(32)
+        least = (np.minimum.reduceat(image, starts, axis=0) & np.uint64(NIBBLE - 1)).reshape(len(part), -1, STEP)
+        out[lo : lo + len(part)] = np.bitwise_or.reduce(least << (np.uint64(4) * np.arange(STEP, dtype=np.uint64)), axis=2)
+    return out
 
 
 @lru_cache(maxsize=8)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[int, ...]:
     """For STEP, 2*STEP, ... compared values the least number of matches that is not pruned.
 
-    Under a uniform prior of the similarity s a byte matches with probability s + (1-s)/256; the posterior of s >= threshold given m
+    Under a uniform prior of the similarity s a value matches with probability s + (1-s)/16; the posterior of s >= threshold given m
     matches of n is a ratio of two integrals, taken on a grid.
     """
     s = (np.arange(2000) + 0.5) / 2000
-    p = s + (1 - s) / 256
+    p = s + (1 - s) / NIBBLE
     out = []
     for n in range(STEP, HASHES + 1, STEP):
         for m in range(n + 1):
@@ -112,8 +110,9 @@ def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndar
         known, ranks = held.value
         for batch in batches:
             key, cls, size, sig = [], [], [], []
-            for c, w in zip(batch["cls"], batch["words"]):
-                w = np.asarray(w, np.int64)
+            sets = [np.asarray(w, np.int64) for w in batch["words"]]
+            signed = None if bare or not sets else [m.tobytes() for m in minhashes(sets)]
+            for at_row, (c, w) in enumerate(zip(batch["cls"], sets)):
                 n = len(w)
                 need = math.ceil(threshold * n - 1e-9)
                 if need < SHARED:  # so few words that only the equal set is alike enough
@@ -129,10 +128,9 @@ def _keys(reps: DataFrame, threshold: float, frequent: np.ndarray, rank: np.ndar
                 key += keys
                 if bare:
                     continue
-                m = minhash(w) + parity_map(w)
                 cls += [c] * len(keys)
                 size += [n] * len(keys)
-                sig += [m] * len(keys)
+                sig += [signed[at_row]] * len(keys)
             if bare:
                 yield pd.DataFrame({"key": np.array(key, np.int64)})
                 continue
@@ -159,13 +157,12 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) ->
         lo = hi
 
 
-def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the eight bytes of each two words are equal."""
+def _equal_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the STEP values of each two words are equal."""
     d = x ^ y
-    d = (d | (d >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
-    d = (d | (d >> np.uint64(2))) & np.uint64(0x0303030303030303)
-    d = (d | (d >> np.uint64(1))) & np.uint64(0x0101010101010101)
-    return np.uint8(STEP) - np.bitwise_count(d)
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return np.uint8(STEP) - np.bitwise_count(d & np.uint64(0x1111111111111111))
 
 
 def _prune(threshold: float, tolerance: float):
@@ -178,9 +175,7 @@ def _prune(threshold: float, tolerance: float):
         more = sizes > 1
         n, cls = rows["n"].to_numpy(), rows["cls"].to_numpy()
         key, block, cross = rows["key"].to_numpy(), rows["_block"].to_numpy(), rows["_cross"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, HASHES + BITS // 8)
-        halves = [np.ascontiguousarray(sig[:, k : k + 8]).view(np.uint64).ravel() for k in range(0, sig.shape[1], 8)]
-        hashes, maps = halves[: HASHES // STEP], halves[HASHES // STEP :]
+        hashes = np.ascontiguousarray(np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(-1, HASHES // STEP).T)
         found = []
         for i, j in _pairs_within(starts[more], sizes[more]):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -188,14 +183,9 @@ def _prune(threshold: float, tolerance: float):
             i, j = i[ok], j[ok]
             matches = np.zeros(len(i), np.uint8)
             for step, limit in enumerate(least):
-                matches += _equal_bytes(hashes[step][i], hashes[step][j])
-                if limit:
-                    ok = matches >= limit
-                    i, j, matches = i[ok], j[ok], matches[ok]
-            # the first half of verifying: alike sets of sizes x and y differ in at most (x+y)(1-t)/(1+t) words
-            differ = sum(np.bitwise_count(m[i] ^ m[j]) for m in maps)
-            ok = differ <= (n[i] + n[j]) * (1 - threshold) / (1 + threshold) + 1e-9
-            i, j = i[ok], j[ok]
+                matches += _equal_values(hashes[step][i], hashes[step][j])
+                ok = matches >= limit
+                i, j, matches = i[ok], j[ok], matches[ok]
             if len(i):
                 found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
