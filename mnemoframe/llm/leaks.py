@@ -6,6 +6,7 @@ the search may jump; where it says 0 the hash of the window's end picks the wind
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from mnemoframe.llm.words import words
 WINDOW = 12
 #: Items searched for at a time: their tables are what a task holds, so any number of items is done in blocks of so many.
 ITEMS_PER_BLOCK = 20_000
+#: Words of the items of one block, however few items they are.
+WORDS_PER_BLOCK = 2_000_000
 
 
 class WuManber:
@@ -54,11 +57,18 @@ class WuManber:
         return out
 
 
+#: The table built last in this process, by the number of its block: tasks of a block share it.
+_BUILT: dict[str, WuManber] = {}
+
+
 def _search(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, list[str]]], window: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = WuManber(held.value, window)
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = WuManber(held.value, window)
+        search = _BUILT[name]
         for batch in batches:
             found = [(key, item) for key, text in zip(batch[id_col], batch[text_col]) if text for item in sorted(search.find(words(text)))]
             yield pd.DataFrame(found, columns=[id_col, "item_id"])
@@ -70,16 +80,18 @@ def _search(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int,
 def leaked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """(id_col, item_id), once each: the document's words contain window consecutive words of the item's question, or of its passage.
 
-    Items with fewer words in both are never found. Items are fetched in blocks of per_block, each block is one pass over the documents;
+    Items with fewer words in both are never found. Items are fetched in blocks of per_block items or WORDS_PER_BLOCK words, each block is one pass over the documents;
     null texts, ids of items that are null and empty tables give nothing.
     """
     spark: SparkSession = docs.sparkSession
-    parts, block = [], []
+    parts, block, size = [], [], 0
     for row in items.filter("item_id is not null").select("item_id", "question", "passage").distinct().toLocalIterator():
-        block += [(row[0], w) for w in (words(row[1]), words(row[2])) if len(w) >= window]
-        if len(block) >= 2 * per_block:
+        own = [(row[0], w) for w in (words(row[1]), words(row[2])) if len(w) >= window]
+        block += own
+        size += sum(len(w) for _, w in own)
+        if len(block) >= 2 * per_block or size >= WORDS_PER_BLOCK:
             parts.append(_search(docs, id_col, text_col, block, window))
-            block = []
+            block, size = [], 0
     if block:
         parts.append(_search(docs, id_col, text_col, block, window))
     if not parts:

@@ -12,8 +12,8 @@ from mnemoframe.runtime import table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk's content as pieces within the limits, in order."""
-    return splitting.split_items(table(spark, sf_dir, "file_chunks"), "chunk_id", "content").withColumnRenamed("id", "chunk_id")
+    """Every chunk's content as pieces within the limits, in order under their document and chunk_index."""
+    return splitting.split_items(table(spark, sf_dir, "file_chunks"), "chunk_id", "content", keep=("document_id", "chunk_index")).withColumnRenamed("id", "chunk_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

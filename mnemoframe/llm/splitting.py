@@ -1,11 +1,12 @@
 """Splitting oversized items at natural boundaries.
 
-Balanced targets: the least number of pieces is computed from both limits, equal-length targets are placed, each is snapped to the
-strongest boundary near it, and a piece is added whenever a limit fails.
+Balanced targets: the least number of pieces is computed from both limits, their overlaps counted, equal-length targets are placed, each is snapped
+to the strongest boundary near it that keeps the limits, and what is left is balanced again, in a piece more where it has to be.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -62,12 +63,18 @@ def _units(text: str, starts: np.ndarray, ends: np.ndarray, max_chars: int) -> t
     return np.array(s), np.array(e)
 
 
+def _overlap_starts(starts: np.ndarray, ends: np.ndarray, max_chars: int, overlap: int) -> np.ndarray:
+    """For a piece that is new from each token on, the token with which its overlap begins: overlap tokens before, fewer only where those take more than half the limit on characters."""
+    at = np.arange(len(starts))
+    return np.maximum(np.maximum(at - overlap, 0), np.searchsorted(starts, ends[np.maximum(at - 1, 0)] - max_chars // 2)).clip(max=at)
+
+
 def split_spans(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, tokens of overlap) of each piece in text; one span over everything if the text is within both limits.
+    """(start, end, tokens of overlap) of each piece in text; one span over everything if, and only if, the text is within both limits.
 
-    Every piece has at most max_tokens tokens and max_chars characters. Pieces after the first begin with up to overlap tokens of the one
-    before, fewer where the limit on characters leaves no room. Text between pieces is white space only. A token over half the limit
-    on characters is cut inside, its parts counting as tokens.
+    Every piece has at most max_tokens tokens and max_chars characters. Pieces after the first begin with overlap tokens of the one before, fewer only
+    where those tokens take more than half the limit on characters or the piece before has fewer. Text between pieces is white space only. A
+    token over half the limit on characters is cut inside, its parts counting as tokens. Time grows in proportion to the text.
     """
     starts, ends = token_spans(text)
     if len(starts) <= max_tokens and len(text) <= max_chars:
@@ -75,60 +82,64 @@ def split_spans(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CH
     if not len(starts):
         return [(a, min(a + max_chars, len(text)), 0) for a in range(0, len(text), max_chars)]
     starts, ends = _units(text, starts, ends, max_chars)
-    n, strength = len(starts), _strengths(text, starts, ends)
-    fresh = max(1, max_tokens - overlap)  # tokens that a later piece may add to its overlap
-    width = ends[-1] - starts[0]
-    least = max(1, -(-(n - max_tokens) // fresh) + 1 if n > max_tokens else 1, -(-int(width) // max_chars))
-    k = least
-    while True:
-        cuts, before = [0], 0
-        for j in range(1, k):
-            target, slack = round(n * j / k), max(1, n // (4 * k))
-            lo, hi = max(before + 1, target - slack), min(n - 1, target + slack)
-            if lo > hi:
-                break
-            near = np.arange(lo, hi + 1)
-            best = np.lexsort((near, np.abs(near - target), -strength[lo : hi + 1].astype(int)))[0]
-            before = int(near[best])
-            cuts.append(before)
-        cuts.append(n)
-        spans, good = [], True
-        for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b - a > max_tokens or ends[b - 1] - starts[a] > max_chars:
-                good = False
-                break
-            back = min(overlap, a - cuts[j - 1], max_tokens - (b - a)) if j else 0
-            while back and ends[b - 1] - starts[a - back] > max_chars:
-                back -= 1
-            # a cut inside a long token may not let a piece of it count twice with its neighbour
-            spans.append((int(starts[a - back]), int(ends[b - 1]), back))
-        if good:
-            return spans
-        if k >= n:
-            return [(int(a), int(b), 0) for a, b in zip(starts, ends)]
-        k += 1
-
-
-def split_items(items: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(id, piece_index, n_pieces, content, token_count, overlap_tokens, oversized) of every id, pieces in order from 0.
+    n, strength, overlap = len(starts), _strengths(text, starts, ends), min(overlap, max_tokens - 1)
+    begins = _overlap_starts(starts, ends, max_chars, overlap)
+    # the token before which a piece that is new from each token on must end, its overlap counted
+    by_chars = np.searchsorted(ends, starts[begins] + max_chars, side="right")
+    bound = np.maximum(np.minimum(begins + max_tokens, np.where(by_chars < n, by_chars, n + max_tokens)), np.arange(n) + 1)
+    furthest = np.minimum(bound, n)
+    # how much of a piece each token takes: targets of equal load are of equal length under whichever limit holds there
+    load = np.concatenate([[0.0], np.cumsum(1.0 / (bound - np.arange(n)))])
+
+    def snapped(target: float, slack: float, lo: int, hi: int) -> int:
+        """The strongest boundary from lo to hi near the target, the nearest of the strongest."""
+        a = min(max(int(np.searchsorted(load, target - slack)), lo), hi)
+        b = min(max(int(np.searchsorted(load, target + slack, side="right")) - 1, a), hi)
+        near = strength[a : b + 1]
+        best = np.flatnonzero(near == near.max()) + a
+        return int(best[np.abs(load[best] - target).argmin()])
+
+    done, at = [], 0
+    while at < n:
+        cut = n
+        if furthest[at] < n:
+            # equal shares of what is left, in as few pieces as its load allows; a cut that was drawn back may add one
+            step = (load[-1] - load[at]) / max(2, math.ceil(load[-1] - load[at] - 1e-9))
+            cut = snapped(load[at] + step, step / 4, at + 1, min(int(furthest[at]), n - 1))
+        done.append((at, cut))
+        at = cut
+    spans, before = [], 0
+    for a, b in done:
+        first = max(int(begins[a]), before)
+        spans.append((int(starts[first]), int(ends[b - 1]), a - first))
+        before = first
+    return spans
+
+
+def split_items(items: DataFrame, id_col: str, text_col: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, piece_index, n_pieces, content, token_count, overlap_tokens, oversized) of every id, pieces in order from 0.
 
     Copies of an id count once (of differing rows the least text holds); null ids are dropped. Blank items give one empty piece with no
     tokens unless they are over the limit on characters; items within the limits give one piece, their text as it is. Whole texts are
-    read, however long. oversized says that the item was over a limit, be it by white space around it, which no piece keeps.
+    read, however long. oversized says that the item had to be cut, be it of white space around it, which no piece keeps. The columns of keep
+    come along.
     """
-    once = items.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    once = items.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(text_col).alias("text"), *keep)).alias("r")).select("id", *[f"r.{c}" for c in keep], "r.text")
+    names = ["piece_index", "n_pieces", "content", "token_count", "overlap_tokens", "oversized"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"]):
+            rows, at = [], []
+            for row, text in enumerate(batch["text"]):
                 text = text or ""
                 spans = split_spans(text, max_tokens, max_chars, overlap)
-                over = len(text) > max_chars or len(_TOKEN.findall(text)) > max_tokens
+                cut = spans != [(0, len(text), 0)]
+                at += [row] * len(spans)
                 for i, (a, b, back) in enumerate(spans):
-                    piece = text[a:b] if text.strip() or over else ""
-                    rows.append((key, i, len(spans), piece, len(_TOKEN.findall(piece)), back, over))
-            yield pd.DataFrame(rows, columns=["id", "piece_index", "n_pieces", "content", "token_count", "overlap_tokens", "oversized"])
+                    piece = text[a:b] if cut or text.strip() else ""
+                    rows.append((i, len(spans), piece, len(_TOKEN.findall(piece)), back, cut))
+            yield pd.concat([batch[["id", *keep]].iloc[at].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    kind = dict(once.dtypes)["id"]
-    return once.mapInPandas(run, f"id {kind}, piece_index int, n_pieces int, content string, token_count int, overlap_tokens int, oversized boolean")
+    kinds = dict(once.dtypes)
+    held = ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep))
+    return once.mapInPandas(run, f"{held}, piece_index int, n_pieces int, content string, token_count int, overlap_tokens int, oversized boolean")
