@@ -66,7 +66,9 @@ def _units(text: str, starts: np.ndarray, ends: np.ndarray, max_chars: int) -> t
 def _overlap_starts(starts: np.ndarray, ends: np.ndarray, max_chars: int, overlap: int) -> np.ndarray:
     """For a piece that is new from each token on, the token with which its overlap begins: overlap tokens before, fewer only where those take more than half the limit on characters."""
     at = np.arange(len(starts))
-    return np.maximum(np.maximum(at - overlap, 0), np.searchsorted(starts, ends[np.maximum(at - 1, 0)] - max_chars // 2)).clip(max=at)
+    half = np.searchsorted(starts, ends[np.maximum(at - 1, 0)] - max_chars // 2)
+    whole = np.searchsorted(starts, ends - max_chars)  # with the token itself, and white space between
+    return np.maximum(np.maximum(at - overlap, 0), np.maximum(half, whole)).clip(max=at)
 
 
 def split_spans(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:

@@ -98,3 +98,10 @@ def test_leaked(spark, per_block):
     docs = spark.createDataFrame([(1, "x, " + q + "!"), (2, q[:30]), (3, None), (4, ""), (1, q)], "doc_id long, text string")
     assert {tuple(r) for r in leaks.leaked(docs, items, per_block=per_block).collect()} == {(1, 1), (1, 2)}
     assert leaks.leaked(docs, items.limit(0)).collect() == [] and leaks.leaked(docs.limit(0), items).collect() == []
+
+
+def test_long_texts_take_time_in_proportion_and_keep_the_overlap():
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 9))) + "." * (rnd.random() < 0.1) for _ in range(100_000))
+    spans = splitting.split_spans(text)
+    assert all(back == 20 for _, _, back in spans[1:]) and len(spans) <= 1.15 * 100_000 / 140
