@@ -3,40 +3,94 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The usual constants of BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
+#: The ranges of CJK characters, each of which is a token by itself.
+_CJK = "\\u3040-\\u30ff\\u3400-\\u9fff"
+_TOKEN = re.compile(f"[{_CJK}]|(?:(?![{_CJK}])[^\\W_])+")
+#: Parts of a stored index, by the hash of the term.
+BUCKETS = 64
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-cased CJK characters and runs of other letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{_CJK}]|[\\p{{L}}\\p{{N}}&&[^{_CJK}]]+"), F.lit(0))
+
+
+def stem(term: Column) -> Column:
+    """A word without its English plural: -ies becomes -y, -es -e, and -s goes, but for words in which it is no ending."""
+    return (
+        F.when(term.rlike("[^ea]ies$"), F.regexp_replace(term, "ies$", "y")).when(term.rlike("[^aeo]es$"), F.regexp_replace(term, "s$", ""))
+        .when(term.rlike("[^aeousi]s$"), F.regexp_replace(term, "s$", "")).otherwise(term)
+    )
+
+
+def _stemmed(term: str) -> str:
+    for ending, cut, put in (("[^ea]ies$", "ies$", "y"), ("[^aeo]es$", "s$", ""), ("[^aeousi]s$", "s$", "")):
+        if re.search(ending, term):
+            return re.sub(cut, put, term)
+    return term
 
 
 class Index:
-    """Inverted index of (id, text): postings (term, id, tf, dl), document frequencies (term, df), and the corpus' size and mean length.
+    """Inverted index of (id, text): postings (term, id, tf, dl), and the corpus' size and mean length.
 
-    Only the postings of the asked terms take part in a search: the filter on term reaches the index, be it a plan or a stored table.
+    Only the postings of the asked terms take part in a search: the filter on term reaches the index, be it a plan or a stored table. With
+    stemmed, English plurals count as their singulars. written() stores it, in parts by the hash of the term; read() opens a stored one.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        words = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> None:
+        self.stemmed, self.stored = stemmed, False
+        found = tokens(F.col(text_col))
+        words = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), (F.transform(found, stem) if stemmed else found).alias("w"))
         self.lengths = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
         self.postings = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
+    @cached_property
+    def statistics(self) -> tuple[int, float]:
+        n, mean = self.lengths.first()
+        return n, mean or 1.0
+
+    def written(self, path: str) -> Index:
+        """The same index as tables under path: postings in BUCKETS parts, each sorted by term, and one row of statistics."""
+        parts = self.postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        parts.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+        self.lengths.withColumn("stemmed", F.lit(self.stemmed)).write.mode("overwrite").parquet(f"{path}/statistics")
+        return Index.read(self.postings.sparkSession, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        out = cls.__new__(cls)
+        out.postings, out.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics")
+        out.stemmed, out.stored = bool(out.lengths.select("stemmed").first()[0]), True
+        out.lengths = out.lengths.drop("stemmed")
+        return out
+
     def search(self, query: str, limit: int | None, keep: DataFrame | None = None) -> DataFrame:
         """(id, score), best first. A bare term may occur, +term must; keep (id) filters the found ones."""
-        bare = re.sub(r"[^a-z0-9+ ]+", " ", query.lower()).split()
-        must = {t[1:] for t in bare if t.startswith("+") and len(t) > 1}
-        asked = sorted({t.strip("+") for t in bare} - {""})
+        asked, must = set(), set()
+        for plus, word in re.findall(r"(\+?)([^\s+]+)", query.lower()):
+            own = {_stemmed(t) if self.stemmed else t for t in _TOKEN.findall(word)}
+            asked |= own
+            must |= own if plus else set()
+        asked = sorted(asked)
         hits = self.postings.filter(F.col("term").isin(asked))
+        if self.stored:  # of the parts of a stored index only those of the asked terms are read
+            spark = self.postings.sparkSession
+            parts = [r[0] for r in spark.createDataFrame([(t,) for t in asked], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int")).distinct().collect()] if asked else []
+            hits = hits.filter(F.col("part").isin(parts))
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         scored = hits.join(F.broadcast(df), "term")  # df has one row a query term
-        n_docs, mean = self.lengths.first()
+        n_docs, mean = self.statistics
         idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
         found = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.when(F.col("term").isin(sorted(must)), 1)).alias("_must"))
         found = found.filter(F.col("_must") >= len(must)).select("id", "score")
         if keep is not None:
@@ -44,6 +98,14 @@ class Index:
         return found.orderBy(F.desc("score"), "id").limit(limit) if limit else found
 
 
+def matched_entities(by_alias: DataFrame, by_vector: DataFrame, top_n: int = 5) -> DataFrame:
+    """(entity_id, score): the best of entities found by their names (id, rank: each counts 1) and by their descriptions (id, score); the larger score counts, ties go to the names in order."""
+    names = by_alias.select(F.col("id").alias("entity_id"), F.lit(1.0).alias("score"), F.col("rank").cast("long").alias("place"))
+    vectors = by_vector.select(F.col("id").alias("entity_id"), F.col("score").cast("double").alias("score"), (F.lit(1_000_000) + F.row_number().over(Window.orderBy(F.desc("score"), "id"))).cast("long").alias("place"))
+    best = names.unionByName(vectors).groupBy("entity_id").agg(F.max("score").alias("score"), F.min("place").alias("place"))
+    return best.orderBy(F.desc("score"), "place").limit(top_n).select("entity_id", "score")
+
+
 def ranked(path: DataFrame, name: str, order: int) -> DataFrame:
     """A path (id, score) with its name, its place among the paths, and ranks from 1."""
     by = Window.orderBy(F.desc("score"), "id")  # paths are limited to a few rows before
@@ -74,7 +136,7 @@ def first_seen(paths: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def overlap_score(query: str, text: Column) -> Column:
     """Shared over all words of query and text; the default ranking function where no model is at hand."""
-    asked = F.array(*[F.lit(t) for t in sorted(set(re.findall(r"[a-z0-9]+", query.lower())))]) if query else F.array().cast("array<string>")
+    asked = F.array(*[F.lit(t) for t in sorted(set(_TOKEN.findall(query.lower())))]) if query else F.array().cast("array<string>")
     own = F.array_distinct(tokens(text))
     union = F.size(F.array_union(asked, own))
     return F.round(F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(asked, own)) / F.when(union == 0, 1).otherwise(union)), 6)
@@ -106,15 +168,18 @@ def pack_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: Colum
     return df.withColumn("used", total).filter(F.col("used") <= budget)
 
 
-def capped(items: Column, leaf_cap: int = 3, mid_cap: int = 8) -> Column:
-    """Of array<struct<id, leaf, mid>> in order those kept under at most leaf_cap of each leaf and mid_cap of each mid; null keys pass."""
+def capped(items: Column, leaf_cap: int = 3, mid_cap: int = 8, protected: Column | None = None) -> Column:
+    """Of array<struct<id, leaf, mid>> in order those kept under at most leaf_cap of each leaf and mid_cap of each mid. Null keys pass, and ids in
+    protected (an array) do, without counting."""
     kind = "array<struct<id:bigint,leaf:string,mid:string>>"
 
     def step(kept: Column, x: Column) -> Column:
+        safe = F.array_contains(protected, x["id"].cast("long")) if protected is not None else F.lit(False)
         leaf_full = F.size(F.filter(kept, lambda q: q["leaf"] == x["leaf"])) >= leaf_cap
         mid_full = F.size(F.filter(kept, lambda q: q["mid"] == x["mid"])) >= mid_cap
-        full = (x["leaf"].isNotNull() & leaf_full) | (x["mid"].isNotNull() & mid_full)
-        return F.when(full, kept).otherwise(F.concat(kept, F.array(F.struct(x["id"].cast("long").alias("id"), x["leaf"].alias("leaf"), x["mid"].alias("mid")))))
+        full = ~safe & ((x["leaf"].isNotNull() & leaf_full) | (x["mid"].isNotNull() & mid_full))
+        key = lambda c: F.when(safe, F.lit(None)).otherwise(x[c]).alias(c)
+        return F.when(full, kept).otherwise(F.concat(kept, F.array(F.struct(x["id"].cast("long").alias("id"), key("leaf"), key("mid")))))
 
     return F.aggregate(items, F.array().cast(kind), step)
 

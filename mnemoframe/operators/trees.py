@@ -44,12 +44,12 @@ def placed_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def with_debt(nodes: DataFrame) -> DataFrame:
-    """(id, entity_id, debt) of nodes that have children and a depth; the allowed depth follows the support of the root."""
+    """(id, entity_id, debt) of nodes that have children and a depth; the allowed depth follows the node's own support, without any there is no limit."""
     placed = placed_nodes(nodes)
-    root = placed.filter("depth = 0").select(F.col("id").alias("r_id"), F.greatest("support", F.lit(0)).alias("r_support"))
-    limit = F.when(F.coalesce("r_support", F.lit(0)) > 0, most_depth(F.greatest("r_support", F.lit(1)))).otherwise(999)
-    debt = structural_debt(F.coalesce("uncertainty_score", F.lit(0.0)), F.col("width"), F.greatest(F.coalesce("support", F.lit(0)), F.lit(0)), F.col("depth"), limit)
-    return placed.filter("width > 0 and depth is not null").join(root, F.col("root_id") == F.col("r_id"), "left").select("id", "entity_id", F.round(debt, 6).alias("debt"))
+    support = F.greatest(F.coalesce("support", F.lit(0)), F.lit(0))
+    limit = F.when(support > 0, most_depth(F.greatest(support, F.lit(1)))).otherwise(999)
+    debt = structural_debt(F.coalesce("uncertainty_score", F.lit(0.0)), F.col("width"), support, F.col("depth"), limit)
+    return placed.filter("width > 0 and depth is not null").select("id", "entity_id", F.round(debt, 6).alias("debt"))
 
 
 def audit_candidates(debts: DataFrame, k: int = AUDITS, least: float = DEBT_LIMIT) -> DataFrame:
@@ -87,9 +87,88 @@ def is_flat(nodes: DataFrame) -> DataFrame:
 
 
 def dissolvable(nodes: DataFrame) -> DataFrame:
-    """(id): inner nodes, not roots, with a single child."""
-    width = nodes.filter("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
-    return nodes.filter("parent_id is not null").select("id").join(width.filter("n = 1"), F.col("id") == F.col("parent_id"), "left_semi")
+    """(id): aspects (nodes under another one, without a fact) with at most one child, or in a thin chain: below the support that their depth
+    should have, as is their parent, which is no root. Nodes in circles have no depth and stay."""
+    placed = placed_nodes(nodes).select("id", "parent_id", "fact_id", F.coalesce("support", F.lit(0)).alias("support"), "depth", "width")
+    over = placed.select(F.col("id").alias("p_id"), F.col("support").alias("p_support"), F.col("depth").alias("p_depth"))
+    own = placed.filter("fact_id is null and depth > 0").join(over, F.col("parent_id") == F.col("p_id"))
+    thin = (F.col("p_depth") > 0) & (F.col("support") < least_support(F.col("depth"))) & (F.col("p_support") < least_support(F.col("p_depth")))
+    return own.filter((F.col("width") <= 1) | thin).select("id")
+
+
+def dissolved(nodes: DataFrame) -> DataFrame:
+    """nodes without all aspects that dissolve, round after round until none is left; their children hang on the nearest node above that stays."""
+    cur = checkpointed(nodes)
+    while True:
+        gone = checkpointed(dissolvable(cur))
+        if gone.isEmpty():
+            return cur
+        # who stands for a node that goes: itself climbing over nodes that go, by doubling
+        up = cur.join(gone, "id", "left_semi").select(F.col("id").alias("g"), F.col("parent_id").alias("to"))
+        while True:
+            further = up.select(F.col("g").alias("to"), F.col("to").alias("over"))
+            moved = checkpointed(up.join(further, "to", "left").select("g", F.coalesce("over", "to").alias("to"), F.col("over").isNotNull().alias("moved")))
+            up = moved.select("g", "to")
+            if moved.filter("moved").isEmpty():
+                break
+        kept = cur.join(gone, "id", "left_anti").join(up, F.col("parent_id") == F.col("g"), "left")
+        cur = checkpointed(kept.withColumn("parent_id", F.coalesce("to", "parent_id")).select(*nodes.columns))
+
+
+def attached(nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """nodes (id, parent_id, fact_id, support, ...) after new facts (node_id, fact_id, leaf_id) are hung on them: a leaf each with support 1, and the
+    support of every node over it raised by the leaves that it gets. Columns that a leaf does not have are null."""
+    paths = hierarchy(nodes.withColumn("created_at", F.lit(0)), tree_col=None, with_paths=True).filter("root_id <> -1").select(F.col("id").alias("node_id"), "path")
+    more = placed.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).join(paths, "node_id").select(F.explode("path").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("_n"))
+    kinds = dict(nodes.dtypes)
+    old = nodes.join(more, "id", "left").withColumn("support", (F.coalesce("support", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast(kinds["support"])).drop("_n")
+    filled = {"id": F.col("leaf_id"), "parent_id": F.col("node_id"), "fact_id": F.col("fact_id"), "support": F.lit(1), "node_type": F.lit("leaf")}
+    leaves = placed.select(*[filled.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in nodes.columns])
+    return old.select(*nodes.columns).unionByName(leaves)
+
+
+def reparented(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """nodes after moves (id, new_parent), applied together. Moves to a missing node, to a node below (or the node itself), to a leaf, and of a root are left
+    out; old and new parent get a step of uncertainty for each move, and supports are counted anew from the leaves."""
+    paths = checkpointed(hierarchy(nodes.withColumn("created_at", F.lit(0)), with_paths=True).select("id", "path", "root_id"))
+    target = nodes.filter("fact_id is null").select(F.col("id").alias("new_parent"))
+    asked = moves.groupBy("id").agg(F.min("new_parent").alias("new_parent")).join(target, "new_parent")
+    ok = asked.join(nodes.filter("parent_id is not null").select("id", F.col("parent_id").alias("old_parent")), "id").join(paths.select(F.col("id").alias("new_parent"), F.col("path").alias("over")), "new_parent").filter(~F.array_contains("over", F.col("id")) & (F.col("new_parent") != F.col("old_parent")))
+    ok = checkpointed(ok.select("id", "old_parent", "new_parent"))
+    steps = ok.select(F.explode(F.array("old_parent", "new_parent")).alias("id")).groupBy("id").agg((F.count(F.lit(1)) * UNCERTAINTY_STEP).alias("_u"))
+    moved = nodes.join(ok.select("id", "new_parent"), "id", "left").join(steps, "id", "left").withColumn("parent_id", F.coalesce("new_parent", "parent_id"))
+    moved = checkpointed(moved.withColumn("uncertainty_score", F.coalesce("uncertainty_score", F.lit(0.0)) + F.coalesce("_u", F.lit(0.0))).select(*nodes.columns))
+    new = hierarchy(moved.withColumn("created_at", F.lit(0)), with_paths=True)
+    # two moves may each be sound and together run in a circle: then none of the tree's moves is done
+    circles = new.filter("root_id = -1").limit(1).count()
+    if circles:
+        bad = new.filter("root_id = -1").select("id").join(ok.select("id"), "id", "left_semi")
+        return reparented(nodes, moves.join(bad, "id", "left_anti"))
+    counted = supports(moved, new)
+    kind = dict(nodes.dtypes)["support"]
+    return moved.join(counted.withColumnRenamed("support", "_s"), "id", "left").withColumn("support", F.coalesce("_s", "support").cast(kind)).select(*nodes.columns)
+
+
+def grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """nodes with a new aspect (group_id, parent_id, description) for each row of groups (group_id, parent_id, description, members), under which those members hang that are children of the parent.
+
+    A group of fewer than two such children, or of all of them, is left out."""
+    kids = nodes.filter("parent_id is not null").select(F.col("id").alias("m"), F.col("parent_id").alias("m_parent"))
+    n = kids.groupBy(F.col("m_parent").alias("n_parent")).agg(F.count(F.lit(1)).alias("n"))
+    own = groups.select("group_id", "parent_id", "description", F.explode(F.array_distinct("members")).alias("m")).join(kids, "m").filter("parent_id = m_parent")
+    first = own.groupBy("m").agg(F.min("group_id").alias("group_id"))  # a child goes to one group
+    own = own.join(first, ["m", "group_id"])
+    size = own.groupBy("group_id", "parent_id", "description").agg(F.count(F.lit(1)).alias("k")).join(n, F.col("parent_id") == F.col("n_parent")).filter("k >= 2 and k < n")
+    size = checkpointed(size.select("group_id", "parent_id", "description", "k"))
+    hung = own.join(size.select("group_id"), "group_id", "left_semi").select(F.col("m").alias("id"), "group_id")
+    entity = nodes.select(F.col("id").alias("parent_id"), *[F.col(c) for c in ("task_id", "entity_id") if c in nodes.columns])
+    kinds = dict(nodes.dtypes)
+    aspects = size.join(entity, "parent_id").withColumns({"id": F.col("group_id"), "node_type": F.lit("aspect"), "support": F.lit(0), "uncertainty_score": F.lit(0.0)})
+    aspects = aspects.select(*[(F.col(c) if c in aspects.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in nodes.columns])
+    moved = nodes.join(hung, "id", "left").withColumn("parent_id", F.coalesce("group_id", "parent_id")).select(*nodes.columns)
+    every = checkpointed(moved.unionByName(aspects))
+    counted = supports(every, hierarchy(every.withColumn("created_at", F.lit(0)), with_paths=True).filter("root_id <> -1"))
+    return every.join(counted.withColumnRenamed("support", "_s"), "id", "left").withColumn("support", F.coalesce("_s", "support").cast(kinds["support"])).select(*nodes.columns)
 
 
 def aspect_paths(nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -106,11 +185,15 @@ def aspect_paths(nodes: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def route(tree: pd.DataFrame, vector: np.ndarray) -> int:
-    """Id of the node a fact hangs on: down from the root while a non-leaf child is strictly more similar than the node. tree: id, parent_id, vec, leaf."""
+    """Id of the node a fact hangs on: down from the root to the best child while it scores strictly more than the node's description, stopping over a leaf.
+
+    tree has id, parent_id, vec (of the description, of a leaf its fact's), leaf and maybe centroid; an inner child scores the mean of both similarities
+    unless one is negative or missing, then the larger. Ties go to the smaller id. -1 without a root.
+    """
 
     def sim(v: np.ndarray | None) -> float:
         if v is None or not len(v):
-            return 0.0
+            return -1.0
         n = float(np.linalg.norm(v) * np.linalg.norm(vector))
         return float(np.dot(v, vector) / n) if n else 0.0
 
@@ -123,15 +206,18 @@ def route(tree: pd.DataFrame, vector: np.ndarray) -> int:
     roots = [int(k) for k, p in zip(tree["id"], tree["parent_id"]) if pd.isna(p) or int(p) not in row]
     if not roots:
         return -1
-    at, best = min(roots), -math.inf
-    best = sim(tree["vec"].iloc[row[at]])
-    seen = {at}
-    while True:
-        options = sorted(((sim(tree["vec"].iloc[row[c]]), -c) for c in kids.get(at, []) if not tree["leaf"].iloc[row[c]]), reverse=True)
-        if not options or options[0][0] <= best or -options[0][1] in seen:
-            return at
-        best, at = options[0][0], -options[0][1]
+    own = {k: sim(tree["vec"].iloc[i]) for k, i in row.items()}
+    centre = {k: sim(tree["centroid"].iloc[i]) if "centroid" in tree else -1.0 for k, i in row.items()}
+    leaf = {k: bool(tree["leaf"].iloc[i]) for k, i in row.items()}
+    score = {k: own[k] if leaf[k] else (own[k] + centre[k]) / 2 if own[k] >= 0 and centre[k] >= 0 else max(own[k], centre[k]) for k in row}
+    at, seen = min(roots), set()
+    while at not in seen:
         seen.add(at)
+        best = max(sorted(kids.get(at, [])), key=score.__getitem__, default=None)
+        if best is None or score[best] <= own[at] or leaf[best]:
+            break
+        at = best
+    return at
 
 
 def routed(nodes: DataFrame, facts: DataFrame) -> DataFrame:

@@ -29,10 +29,15 @@ def query(sql):
     return add
 
 
-def bm25(source: str, key: str, col: str, name: str, terms: str = _TERMS) -> str:
+_STEM = r"""lambda t: CASE WHEN regexp_matches(t, '[^ea]ies$') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '[^aeo]es$') OR regexp_matches(t, '[^aeousi]s$') THEN regexp_replace(t, 's$', '') ELSE t END"""
+
+
+def bm25(source: str, key: str, col: str, name: str, terms: str = _TERMS, stemmed: bool = False) -> str:
     """CTEs up to one called name with (id, score) of the rows of source."""
+    cjk = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
+    found = rf"regexp_extract_all(regexp_replace(lower({col}), '({cjk})', ' \1 ', 'g'), '{cjk}|[\p{{L}}\p{{N}}]+')"
     return f""",
-{name}_w AS (SELECT {key} AS id, list_filter(string_split_regex(lower({col}), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM {source} WHERE {col} IS NOT NULL),
+{name}_w AS (SELECT {key} AS id, {f'list_transform({found}, {_STEM})' if stemmed else found} AS w FROM {source} WHERE {col} IS NOT NULL),
 {name}_n AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM {name}_w),
 {name}_p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM {name}_w) WHERE term IN {terms} GROUP BY 1, 2, 3),
 {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
@@ -40,12 +45,26 @@ def bm25(source: str, key: str, col: str, name: str, terms: str = _TERMS) -> str
   FROM {name}_p JOIN {name}_d USING (term), {name}_n GROUP BY 1)"""
 
 
+#: Active facts with the text that is searched: the stored one, or built from the text where none is stored.
+_SEARCHED = r""",
+srch AS (SELECT id, coalesce(nullif(trim(search_text), ''), regexp_replace(regexp_replace(text, '\[([^\[\]]+?)::([^\[\]]+)\]', '\1', 'g'), '\[([^\[\]:]+)\]', '\1', 'g')) AS st FROM act)"""
+
+
+def searched(facts):
+    """facts with st, the text that is searched."""
+    return facts.withColumn("st", F.coalesce(F.nullif(F.trim("search_text"), F.lit("")), X.search_text(F.col("text"), F.array().cast("array<string>"))))
+
+
+def facts_bm25(name: str, terms: str = _TERMS) -> str:
+    return _SEARCHED + bm25("srch", "id", "st", name, terms, True)
+
+
 def _facts(c):
     return M.active(c.facts)
 
 
 def _fact_index(c):
-    return S.Index(_facts(c), "id", "text")
+    return S.Index(searched(_facts(c)), "id", "st", True)
 
 
 def _vector(c, fact_id: int = 2) -> list[float]:
@@ -143,12 +162,12 @@ def a19_mean_vectors(c):
     return m.select("task_id", F.posexplode("centroid").alias("p", "m")).select("task_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("m").alias("mean"))
 
 
-@query(bm25("act", "id", "text", "bm") + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
+@query(facts_bm25("bm") + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
 def r1_bm25_facts(c):
     return _fact_index(c).search(QUESTION, 20)
 
 
-@query(bm25("act", "id", "text", "bm", "('kettle', 'near')") + " SELECT id, score FROM bm WHERE id IN (SELECT id FROM bm_p WHERE term = 'kettle') ORDER BY score DESC, id LIMIT 20")
+@query(facts_bm25("bm", "('kettle', 'near')") + " SELECT id, score FROM bm WHERE id IN (SELECT id FROM bm_p WHERE term = 'kettle') ORDER BY score DESC, id LIMIT 20")
 def r3_boolean_facts(c):
     return _fact_index(c).search("+kettle near", 20)
 
@@ -159,9 +178,9 @@ def r4_bm25_messages(c):
     return S.Index(c.messages, "id", "content").search("parser regression", 20, keep)
 
 
-@query(bm25("summaries", "session_id", "content", "bm", "('parser', 'regression')") + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
+@query(bm25("summaries", "session_id", "content", "bm", "('parser', 'regression')", True) + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 def r5_bm25_sessions(c):
-    return S.Index(c.summaries, "session_id", "content").search("parser regression", 10)
+    return S.Index(c.summaries, "session_id", "content", True).search("parser regression", 10)
 
 
 @query(bm25("ents", "id", "canonical_ref", "bm", "('polar', 'association')") + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
@@ -169,7 +188,7 @@ def r7_bm25_names(c):
     return S.Index(c.entities, "id", "canonical_ref").search("polar association", 20)
 
 
-_FUSED = bm25("act", "id", "text", "bm") + _VEC + """,
+_FUSED = facts_bm25("bm") + _VEC + """,
 pa AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm ORDER BY score DESC, id LIMIT 20),
 pb AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vec ORDER BY score DESC, id LIMIT 20),
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(o * 1000000 + rank) AS pos FROM (SELECT id, rank, 0 AS o FROM pa UNION ALL SELECT id, rank, 1 FROM pb) GROUP BY 1)"""
@@ -194,12 +213,17 @@ def r17_fact_sessions(c):
     return M.session_scores(S.fuse(_paths(c), 12).select("id", "score"), c.sources)
 
 
-@query(_FUSED + r""", top AS (SELECT t.id, t.score, t.pos, '- ' || regexp_replace(f.text, '\[([^\[\]]+?)::([^\[\]]+)\]', '[\2]', 'g') AS line FROM (SELECT * FROM fused ORDER BY score DESC, pos LIMIT 12) t JOIN act f USING (id)),
-run AS (SELECT id, sum(length(line) // 4 + 1) OVER (ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM top) SELECT id, CAST(used AS BIGINT) AS used FROM run WHERE used <= 250""")
+@query(_FUSED + r""", top AS (SELECT t.id, row_number() OVER (ORDER BY t.score DESC, t.pos) AS r, coalesce(nullif(f.fact_ts, ''), 'zzz') AS ts, length('- ' || regexp_replace(f.text, '\[([^\[\]]+?)::([^\[\]]+)\]', '[\2]', 'g')) // 4 + 1 AS cost FROM (SELECT * FROM fused ORDER BY score DESC, pos LIMIT 12) t JOIN act f USING (id)),
+walk AS (SELECT 0::BIGINT AS r, 0::BIGINT AS used, NULL::BIGINT AS id, '' AS ts, false AS kept UNION ALL SELECT t.r, CASE WHEN w.used + t.cost <= 160 THEN w.used + t.cost ELSE w.used END, t.id, t.ts, w.used + t.cost <= 160 FROM walk w JOIN top t ON t.r = w.r + 1)
+SELECT id, row_number() OVER (ORDER BY ts, r) AS place FROM walk WHERE kept""")
 def r20_packed_facts(c):
-    top = S.fuse(_paths(c), 12).join(_facts(c).select("id", "text"), "id")
+    top = S.fuse(_paths(c), 12).join(_facts(c).select("id", "text", "fact_ts"), "id")
     cost = X.token_estimate(F.concat(F.lit("- "), X.inline_dates(F.col("text"))))
-    return S.pack_prefix(top, [], [F.desc("score"), F.col("pool_position")], cost, 250).select("id", "used")
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "pool_position"))  # at most 12 rows
+    top = top.select("id", "fact_ts", cost.alias("cost"), rank.alias("r"))
+    kept = top.agg(F.array_sort(F.collect_list(F.struct("r", "cost", "id"))).alias("m")).select(F.explode(S.pack_skipping(F.transform("m", lambda x: F.struct(x["cost"].alias("cost"), x["id"].alias("key"))), 160)).alias("k")).select(F.col("k.key").alias("id"))
+    by_time = Window.orderBy(F.coalesce(F.nullif("fact_ts", F.lit("")), F.lit("zzz")), "r")
+    return top.join(kept, "id").select("id", F.row_number().over(by_time).cast("long").alias("place"))
 
 
 @query(None)
@@ -289,14 +313,14 @@ def g9_depths(c):
     return hierarchy(c.nodes, tree_col="entity_id").filter("depth is not null").select("id", "depth")
 
 
-@query(_PLACED + """, debts AS (SELECT n.id, n.entity_id, round(coalesce(n.uncertainty_score, 0) + 3 * greatest(0, wd.width - (3 + 1.5 * log2(1 + greatest(coalesce(n.support, 0), 0)))) + 5 * greatest(0, w.depth - CASE WHEN r.support > 0 THEN CAST(round_even(2 + 1.3 * ln(r.support), 0) AS INTEGER) ELSE 999 END), 6) AS debt
-  FROM nds n JOIN walk w USING (id) JOIN width wd USING (id) JOIN nds r ON r.id = w.root_id) SELECT id, entity_id, debt FROM debts""")
+@query(_PLACED + """, debts AS (SELECT n.id, n.entity_id, round(coalesce(n.uncertainty_score, 0) + 3 * greatest(0, wd.width - (3 + 1.5 * log2(1 + greatest(coalesce(n.support, 0), 0)))) + 5 * greatest(0, w.depth - CASE WHEN n.support > 0 THEN CAST(round_even(2 + 1.3 * ln(n.support), 0) AS INTEGER) ELSE 999 END), 6) AS debt
+  FROM nds n JOIN walk w USING (id) JOIN width wd USING (id)) SELECT id, entity_id, debt FROM debts""")
 def g8_structural_debt(c):
     return G.with_debt(c.nodes)
 
 
-@query(_PLACED + """, debts AS (SELECT n.id, n.entity_id, round(coalesce(n.uncertainty_score, 0) + 3 * greatest(0, wd.width - (3 + 1.5 * log2(1 + greatest(coalesce(n.support, 0), 0)))) + 5 * greatest(0, w.depth - CASE WHEN r.support > 0 THEN CAST(round_even(2 + 1.3 * ln(r.support), 0) AS INTEGER) ELSE 999 END), 6) AS debt
-  FROM nds n JOIN walk w USING (id) JOIN width wd USING (id) JOIN nds r ON r.id = w.root_id) SELECT id, debt FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY debt DESC, id) AS p FROM debts WHERE debt >= 10) WHERE p <= 5""")
+@query(_PLACED + """, debts AS (SELECT n.id, n.entity_id, round(coalesce(n.uncertainty_score, 0) + 3 * greatest(0, wd.width - (3 + 1.5 * log2(1 + greatest(coalesce(n.support, 0), 0)))) + 5 * greatest(0, w.depth - CASE WHEN n.support > 0 THEN CAST(round_even(2 + 1.3 * ln(n.support), 0) AS INTEGER) ELSE 999 END), 6) AS debt
+  FROM nds n JOIN walk w USING (id) JOIN width wd USING (id)) SELECT id, debt FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY debt DESC, id) AS p FROM debts WHERE debt >= 10) WHERE p <= 5""")
 def g11_audit_candidates(c):
     return G.audit_candidates(G.with_debt(c.nodes)).select("id", "debt")
 
@@ -311,7 +335,12 @@ def g14_split_groups(c):
     return G.split_groups(c.nodes)
 
 
-@query("SELECT id FROM nds WHERE parent_id IS NOT NULL AND id IN (SELECT parent_id FROM nds GROUP BY 1 HAVING count(*) = 1)")
+_FLOOR = "(CASE WHEN abs(exp(({d} - 2) / 1.3) - round(exp(({d} - 2) / 1.3))) <= 0.1 THEN round(exp(({d} - 2) / 1.3)) ELSE ceil(exp(({d} - 2) / 1.3)) END)"
+
+
+@query(_PLACED + f""", asp AS (SELECT n.id, n.parent_id, coalesce(n.support, 0) AS support, w.depth, p.parent_id IS NULL OR p.parent_id NOT IN (SELECT id FROM nds) AS under_root, coalesce(p.support, 0) AS p_support,
+  (SELECT count(*) FROM nds k WHERE k.parent_id = n.id) AS kids FROM nds n JOIN walk w USING (id) JOIN nds p ON p.id = n.parent_id WHERE n.fact_id IS NULL)
+SELECT id FROM asp WHERE kids <= 1 OR (NOT under_root AND support < {_FLOOR.format(d='depth')} AND p_support < {_FLOOR.format(d='(depth - 1)')})""")
 def g15_dissolvable(c):
     return G.dissolvable(c.nodes)
 
@@ -351,5 +380,5 @@ def z10_session_windows(c):
     return e.groupBy("user_id", F.session_window("t", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start")).select("user_id", "start", "n")
 
 
-for _name in [n for n, sql in ORACLE.items() if _PLACED in sql or "\nf AS (SELECT session_id" in sql]:
+for _name in [n for n, sql in ORACLE.items() if _PLACED in sql or "\nf AS (SELECT session_id" in sql or "walk AS (SELECT 0" in sql]:
     ORACLE[_name] = ORACLE[_name].replace("WITH sessions", "WITH RECURSIVE sessions", 1)
