@@ -26,8 +26,8 @@ from mnemoframe.runtime import GROUP_CAP, blocked, checkpointed, components, ove
 THRESHOLD = 0.7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 TOLERANCE = 1e-5
-#: MinHash values of four bits each, compared STEP (one machine word) at a time.
-HASHES, STEP, NIBBLE = 64, 16, 16
+#: MinHash values of one bit each, compared STEP (one machine word) at a time: for a given number of bytes the most telling at high similarity.
+HASHES, STEP = 256, 64
 #: Words that the prefixes of two alike sets must share; the prefix is longer by as much.
 SHARED = 2
 #: Words that may count as frequent, and so be broadcast with their rank: 2**20 of 12 bytes are 12 MB.
@@ -52,31 +52,28 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set HASHES values of four bits, STEP of them in a word: the low bits of the least image of the set under each of as many hash functions. Sets must have words."""
+    """For each set HASHES bits, STEP in a word: one bit of the least image of the set under each of as many hash functions. Sets must have words."""
     a, b = _seeds()
-    out = np.empty((len(sets), HASHES // STEP), np.uint64)
-    for lo in range(0, len(sets), 500):
-        part = sets[lo : lo + 500]
+    out = np.empty((len(sets), HASHES // 8), np.uint8)
+    for lo in range(0, len(sets), 200):
+        part = sets[lo : lo + 200]
         starts = np.cumsum([0, *(len(s) for s in part[:-1])])
         with np.errstate(over="ignore"):
-            image = np.concatenate(part).view(np.uint64)[:, None] * a[None, :] + b[None, :]
-            image ^= image >> np.uint64(29)
-            image *= np.uint64(0xBF58476D1CE4E5B9)
-            image ^= image >> np.uint64(32)
-        least = (np.minimum.reduceat(image, starts, axis=0) & np.uint64(NIBBLE - 1)).reshape(len(part), -1, STEP)
-        out[lo : lo + len(part)] = np.bitwise_or.reduce(least << (np.uint64(4) * np.arange(STEP, dtype=np.uint64)), axis=2)
-    return out
+            least = np.minimum.reduceat(np.concatenate(part).view(np.uint64)[:, None] * a[None, :] + b[None, :], starts, axis=0)
+            least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[lo : lo + len(part)] = np.packbits((least >> np.uint64(63)).astype(np.uint8), axis=1)
+    return out.view(np.uint64)
 
 
 @lru_cache(maxsize=8)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[int, ...]:
     """For STEP, 2*STEP, ... compared values the least number of matches that is not pruned.
 
-    Under a uniform prior of the similarity s a value matches with probability s + (1-s)/16; the posterior of s >= threshold given m
+    Under a uniform prior of the similarity s a bit matches with probability s + (1-s)/2; the posterior of s >= threshold given m
     matches of n is a ratio of two integrals, taken on a grid.
     """
     s = (np.arange(2000) + 0.5) / 2000
-    p = s + (1 - s) / NIBBLE
+    p = s + (1 - s) / 2
     out = []
     for n in range(STEP, HASHES + 1, STEP):
         for m in range(n + 1):
@@ -157,14 +154,6 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) ->
         lo = hi
 
 
-def _equal_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the STEP values of each two words are equal."""
-    d = x ^ y
-    d |= d >> np.uint64(2)
-    d |= d >> np.uint64(1)
-    return np.uint8(STEP) - np.bitwise_count(d & np.uint64(0x1111111111111111))
-
-
 def _prune(threshold: float, tolerance: float):
     least = least_matches(threshold, tolerance)
 
@@ -181,9 +170,9 @@ def _prune(threshold: float, tolerance: float):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = (small >= threshold * large - 1e-9) & (key[i] == key[j]) & (cls[i] != cls[j]) & (~cross[i] | (block[i] != block[j]))
             i, j = i[ok], j[ok]
-            matches = np.zeros(len(i), np.uint8)
+            matches = np.zeros(len(i), np.uint16)
             for step, limit in enumerate(least):
-                matches += _equal_values(hashes[step][i], hashes[step][j])
+                matches += np.uint16(STEP) - np.bitwise_count(hashes[step][i] ^ hashes[step][j])
                 ok = matches >= limit
                 i, j, matches = i[ok], j[ok], matches[ok]
             if len(i):
