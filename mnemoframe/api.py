@@ -17,6 +17,7 @@ from mnemoframe.functions import text as X
 from mnemoframe.functions import vectors as V
 from mnemoframe.operators import memory as M
 from mnemoframe.operators import search as S
+from mnemoframe.operators import trees as G
 
 DIMENSIONS = 64
 #: Words that rewriting leaves out.
@@ -73,22 +74,48 @@ class MemoryStore:
     sessions: DataFrame
     summaries: DataFrame
     hooks: Hooks = field(default_factory=Hooks)
+    nodes: DataFrame | None = None
+    entities: DataFrame | None = None
+    refs: DataFrame | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str, hooks: Hooks | None = None) -> MemoryStore:
         c = M.Corpus(spark, folder)
-        return cls(spark, c.facts, c.sources, c.sessions, c.summaries, hooks or Hooks())
+        return cls(spark, c.facts, c.sources, c.sessions, c.summaries, hooks or Hooks(), c.nodes, c.entities, c.refs)
+
+    def tree_facts(self, task_id: int, question: str, vec: list[float], entities: int = 5, width: int = 3, limit: int = 20) -> DataFrame:
+        """(id, score): the facts that a beam finds in the trees of the entities which the question names or means, ranked by their vectors."""
+        ents = self.entities.filter(F.col("task_id") == task_id)
+        aliases = self.refs.filter((F.col("task_id") == task_id) & F.col("entity_id").isNotNull()).select(F.xxhash64("entity_id", "alias_text").alias("a"), "entity_id", "alias_text").distinct()
+        named = S.Index(aliases, "a", "alias_text").search(question, 2 * entities).join(aliases, F.col("id") == F.col("a")).select("entity_id", "score")
+        return G.tree_facts(self.nodes.filter(F.col("task_id") == task_id), M.active(self.facts, task_id), ents, named, vec, entities, width, limit)
 
     def _paths(self, task_id: int, queries: list[str], per_path: int) -> list[tuple[str, DataFrame]]:
         own = M.active(self.facts, task_id)
-        index, out = S.Index(own, "id", "text"), []
+        index, out = S.Index(M.with_searched_text(own), "id", "st", True), []
         for i, q in enumerate(queries):
             out.append((f"bm25-{i}", index.search(q, per_path)))
+            if "+" in q:  # a query with words that must occur; the plain path takes all as optional
+                out[-1:] = [(f"parsed-{i}", index.search(q, per_path)), (f"bm25-{i}", index.search(q.replace("+", " "), per_path))]
             vec = self.hooks.safely("embed", None, q)
             if vec and any(vec):
                 out.append((f"vector-{i}", V.top_by_vector(own, "text_embedding", vec, "id", per_path)))
+                if self.nodes is not None and self.entities is not None and self.refs is not None:
+                    out.append((f"tree-{i}", self.tree_facts(task_id, q, vec, limit=per_path)))
         return out
 
+    def _within_aspects(self, pool: DataFrame) -> DataFrame:
+        """pool (id, source, ...) with at most three facts of one aspect and eight of the one over it, in order; found words are safe from that."""
+        if self.nodes is None or self.entities is None:
+            return pool
+        n = self.nodes.join(pool.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").select(F.col("id").alias("node"), "fact_id")
+        keys = G.aspect_paths(self.nodes, self.entities).join(n, F.col("id") == F.col("node")).groupBy("fact_id").agg(F.min(F.struct("node", "leaf_key", "mid_key")).alias("k"))
+        placed = pool.join(keys, F.col("id") == F.col("fact_id"), "left").select("id", "source", "score", "pool_position", F.col("k.leaf_key").alias("leaf"), F.col("k.mid_key").alias("mid"))
+        # at most the rows of a few paths of limited length
+        rows = placed.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pool_position", "id", "leaf", "mid"))).alias("m"), F.collect_set(F.when(F.col("source").startswith("bm25"), F.col("id"))).alias("safe"))
+        kept = rows.select(F.explode(S.capped(F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["leaf"].alias("leaf"), x["mid"].alias("mid"))), protected=F.col("safe"))).alias("k"))
+        return pool.join(kept.select(F.col("k.id").alias("id")), "id", "left_semi")
+
     def search(self, task_id: int, question: str, mode: str = "direct", strategy: str = "rrf", top_k: int = 12, per_path: int = 20, fact_budget: int = 4500, session_budget: int = 1500) -> Found:
         """The facts and sessions of a task that answer a question best, and both packed into a text within the budgets.
 
@@ -101,7 +128,7 @@ class MemoryStore:
         if mode != "direct":
             queries += [q for q in (self.hooks.safely("rewrite", question, question), *self.hooks.safely("more_queries", [], question)) if q and q not in queries]
         texts = M.active(self.facts, task_id).select("id", "text", "fact_ts")
-        pool = S.fuse(self._paths(task_id, queries, per_path)).join(texts, "id")
+        pool = self._within_aspects(S.fuse(self._paths(task_id, queries, per_path))).join(texts, "id")
         top = S.rerank(pool, "text", question, top_k, self.hooks.scorer) if strategy == "rerank" else pool.orderBy(F.desc("score"), "pool_position").limit(top_k)
         rows = top.orderBy(F.desc("score"), "pool_position").collect()  # at most top_k
         if mode == "reflect" and rows:
@@ -148,10 +175,15 @@ class FileLibrary:
         own = self.chunks.filter(F.col("chat_id") == chat_id)
         if document_ids is not None:
             own = own.filter(F.col("document_id").isin(sorted({d.strip() for d in document_ids if d.strip()})))
-        paths = [("bm25", S.Index(own, "chunk_id", "content").search(query, 20))]
+        indexed = own.withColumn("_t", F.coalesce(F.nullif(F.trim("retrieval_text"), F.lit("")), F.col("content")) if "retrieval_text" in own.columns else F.col("content"))
+        paths = [("bm25", S.Index(indexed, "chunk_id", "_t").search(query, 20))]
         if "embedding" in own.columns and any(vec := self.hooks.safely("embed", [], query)):
             paths.insert(0, ("vector", V.top_by_vector(own, "embedding", vec, "chunk_id", 20)))
-        return S.fuse(paths, top_k).join(own.select(F.col("chunk_id").alias("id"), "document_id", "file_name", "content"), "id").drop("pool_position")
+        pool = S.fuse(paths, 20).join(own.select(F.col("chunk_id").alias("id"), "document_id", "file_name", "content"), "id")
+        try:
+            return S.rerank(pool, "content", query, top_k, self.hooks.scorer).drop("pool_position")
+        except Exception:  # noqa: BLE001 the fused order is the fallback of a scorer that fails
+            return pool.orderBy(F.desc("score"), "pool_position").limit(top_k).drop("pool_position")
 
     def packed(self, found: DataFrame, budget: int) -> str:
         """The found chunks as escaped markup within the budget, those that do not fit left out."""

@@ -268,19 +268,25 @@ def owner_of(name: Column) -> Column:
 
 
 def is_titlecase(name: Column) -> Column:
-    """All words begin with a capital and go on in small letters, at most four of them: it looks like a person."""
+    """One to four words, in each of which capitals begin a part and small letters go on: it looks like a person."""
     w = F.filter(F.split(name, r"\s+"), lambda x: x != "")
-    return (F.size(w) > 0) & (F.size(w) <= 4) & F.forall(w, lambda x: x.rlike(r"^\p{Lu}[\p{Ll}'’\-]*\.?$"))
-
-
-def identity_conflict(a: Column, b: Column) -> Column:
-    """True if two names cannot be one: a code against a name, an owner's thing against the owner, or things of different owners."""
-    code = lambda n: n.rlike(r"^[A-Z]+-?\d+$")
-    oa, ob = owner_of(a), owner_of(b)
-    return (
-        ((code(a) != code(b)) & (is_titlecase(a) | is_titlecase(b))) | ((oa != "") & (ob == "") & is_titlecase(b)) | ((ob != "") & (oa == "") & is_titlecase(a))
-        | ((oa != "") & (ob != "") & (F.lower(oa) != F.lower(ob)))
-    )
+    return (F.size(w) > 0) & (F.size(w) <= 4) & F.forall(w, lambda x: x.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$"))
+
+
+def identity_conflict(new: Column, target: Column, aliases: Column | None = None, desc: Column | None = None) -> Column:
+    """True if a new name cannot denote the target: it names another owner than all that the target's names and description name, or a person where the target
+    is somebody's thing or has no name of a person."""
+    names = F.array(target) if aliases is None else F.array_distinct(F.concat(F.array(target), F.coalesce(aliases, F.array().cast("array<string>"))))
+    names = F.filter(names, lambda n: n.isNotNull())
+    owners = F.filter(F.transform(names, owner_of), lambda o: o != "")
+    if desc is not None:
+        owners = F.concat(owners, F.regexp_extract_all(F.coalesce(desc, F.lit("")), F.lit(r"\b([A-Z][\w-]*(?:\s+[A-Z][\w-]*)*)['’]s\b"), F.lit(1)))
+    owners = F.transform(owners, normalized_name)
+    own = owner_of(new)
+    other_owner = (own != "") & (F.size(owners) > 0) & ~F.array_contains(owners, normalized_name(own))
+    person = (own == "") & is_titlecase(new)
+    has_person = F.exists(names, lambda n: (owner_of(n) == "") & is_titlecase(n))
+    return F.coalesce(other_owner | (person & ((F.size(owners) > 0) | ~has_person)), F.lit(False))
 
 
 def aspect_text(entity: Column, desc: Column, path: Column, text: Column, info: Column) -> Column:

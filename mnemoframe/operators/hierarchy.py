@@ -26,11 +26,13 @@ CYCLE = -1
 
 def latest_nodes(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", order_col: str = "created_at", tree_col: str | None = None) -> DataFrame:
     """(id, parent, loc) with one row per id: the one with the latest order_col, ties going to the larger parent. Null ids are dropped.
+    Without a column order_col all rows tie.
 
     loc is the hash of tree_col (0 without one); rows with near loc and id end up in one fragment, nothing else depends on it.
     """
     loc = F.xxhash64(F.col(tree_col)) if tree_col else F.lit(0).cast("long")
-    rank = F.struct(F.col(order_col).alias("at"), F.col(parent_col).cast("long").alias("parent"), loc.alias("loc"))
+    order = F.col(order_col) if order_col in nodes.columns else F.lit(0)
+    rank = F.struct(order.alias("at"), F.col(parent_col).cast("long").alias("parent"), loc.alias("loc"))
     best = nodes.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(rank).alias("r"))
     return best.select("id", "r.parent", "r.loc")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,12 @@ def active(facts: DataFrame, task_id: int | None = None) -> DataFrame:
     return out if task_id is None else out.filter(F.col("task_id") == task_id)
 
 
+def with_searched_text(facts: DataFrame) -> DataFrame:
+    """facts with st, the text that is searched: the stored one, or built from the text where none is stored."""
+    built = X.search_text(F.col("text"), F.array().cast("array<string>"))
+    return facts.withColumn("st", F.coalesce(F.nullif(F.trim("search_text"), F.lit("")), built) if "search_text" in facts.columns else built)
+
+
 def latest_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -111,9 +119,67 @@ def alias_map(refs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def exact_reuse(new: DataFrame, facts: DataFrame) -> DataFrame:
-    """(key, fact_id): for new facts (key, task_id, text) the stored fact of the task with the same text, the smallest id."""
-    held = facts.select("task_id", "text", F.col("id").alias("fact_id"))
-    return new.join(held, ["task_id", "text"]).groupBy("key").agg(F.min("fact_id").alias("fact_id"))
+    """(key, fact_id): for new facts (key, task_id, text, entities) the stored fact (id, ...) of the task with the same text and the same set of entities, the smallest id.
+
+    Without a column entities on both sides the text decides alone. Two people of one name are not one: their entities differ.
+    """
+    by = ["task_id", "text"] + ["entities"] * ("entities" in new.columns and "entities" in facts.columns)
+    same = lambda df: df.withColumn("entities", F.array_sort(F.array_distinct(F.coalesce("entities", F.array().cast("array<string>"))))) if "entities" in by else df
+    held = same(facts).groupBy(*by).agg(F.min("id").alias("fact_id"))
+    return same(new).join(held, by).groupBy("key").agg(F.min("fact_id").alias("fact_id"))
+
+
+def equivalent_facts(candidates: DataFrame, decide: Callable[[str, list[str]], int | None]) -> DataFrame:
+    """(key, fact_id) of candidates (key, text, entities, fact_id, fact_text, fact_entities): what a hook takes for the same fact, by its place among the offered texts.
+
+    Only candidates with the same set of entities are offered, in order of fact_id; an answer that is no place among them is none.
+    """
+    same = candidates.filter(F.array_sort(F.array_distinct("entities")) == F.array_sort(F.array_distinct("fact_entities")))
+    offered = same.groupBy("key", "text").agg(F.array_sort(F.collect_list(F.struct("fact_id", "fact_text"))).alias("c")).select("key", "text", F.transform("c", lambda x: x["fact_id"]).alias("ids"), F.transform("c", lambda x: x["fact_text"]).alias("texts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text, ids, texts in zip(batch["key"], batch["text"], batch["ids"], batch["texts"]):
+                at = decide(text, list(texts))
+                if at is not None and 0 <= at < len(ids):
+                    rows.append((key, int(ids[at])))
+            yield pd.DataFrame(rows, columns=["key", "fact_id"])
+
+    return offered.mapInPandas(run, f"key {dict(candidates.dtypes)['key']}, fact_id long")
+
+
+def chosen(spec: str, n: int) -> list[int]:
+    """Places from 1 that a text like `1-3,8` names, in order and once each; a place that is not among n, or anything else, is an error."""
+    out: dict[int, None] = {}
+    for part in spec.split(","):
+        ends = part.strip().split("-")
+        if not all(x.strip().isdigit() for x in ends) or len(ends) > 2:
+            raise ValueError(f"no places: {part!r}")
+        lo, hi = int(ends[0]), int(ends[-1])
+        if not 1 <= lo <= hi <= n:
+            raise ValueError(f"{part!r} is not within 1-{n}")
+        out.update(dict.fromkeys(range(lo, hi + 1)))
+    return list(out)
+
+
+def around_cursor(df: DataFrame, keys: list[str], at: Column, order: list[Column], back: int) -> DataFrame:
+    """Of each group the rows after the cursor and the last `back` ones up to it; at tells whether a row is after it."""
+    w = Window.partitionBy(*keys, "_after").orderBy(*order)
+    placed = df.withColumn("_after", at).withColumn("_r", F.row_number().over(w))
+    return placed.filter(F.col("_after") | (F.col("_r") <= back)).drop("_after", "_r")
+
+
+def upserts(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, action) that turn the stored nodes old into new: 'insert', 'update' (one of columns differs), 'delete', 'keep'. A new node whose parent is not in new is an error."""
+    orphans = new.filter("parent_id is not null").join(new.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").limit(1).count()
+    if orphans:
+        raise ValueError("a node without its parent")
+    a = old.select(F.col("id").alias("o"), F.struct(*columns).alias("before"))
+    b = new.select(F.col("id").alias("i"), F.struct(*columns).alias("now"))
+    both = a.join(b, F.col("o") == F.col("i"), "full")
+    action = F.when(F.col("o").isNull(), "insert").when(F.col("i").isNull(), "delete").when(F.col("before").eqNullSafe(F.col("now")), "keep").otherwise("update")
+    return both.select(F.coalesce("i", "o").alias("id"), action.alias("action"))
 
 
 def with_clamped_page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

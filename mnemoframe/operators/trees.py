@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.functions import vectors as V
+from mnemoframe.operators import search as S
 from mnemoframe.operators.hierarchy import hierarchy
 from mnemoframe.runtime import checkpointed
 
@@ -254,3 +256,122 @@ def beam(nodes: DataFrame, scores: DataFrame, width: int = 3) -> DataFrame:
         if depth % 16 == 0:  # else the plan grows with the depth
             found = checkpointed(found)
     return found.distinct()
+
+
+def tree_facts(nodes: DataFrame, facts: DataFrame, entities: DataFrame, named: DataFrame, vec: list[float], top_n: int = 5, width: int = 3, limit: int = 20) -> DataFrame:
+    """(id, score): path of the trees. The entities that are named (entity_id, score) or whose descriptions (desc_embedding) are nearest to vec give their trees, a beam of
+    width goes down each by likeness to vec (a node is as like as its description_embedding, if it has one, a leaf else as its fact's vector, others 0), and the
+    facts found are ranked by inner product."""
+    q = F.array(*[F.lit(float(x)) for x in vec])
+    w = Window.orderBy(F.desc("score"), "id")
+    by_alias = named.groupBy(F.col("entity_id").alias("id")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(2 * top_n).withColumn("rank", F.row_number().over(w))
+    of_vectors = entities.filter(V.is_vector(F.col("desc_embedding"), len(vec))).select(F.col("entity_id").alias("id"), F.round(V.cosine(F.col("desc_embedding"), q), 6).alias("score"))
+    by_vector = of_vectors.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(2 * top_n)
+    chosen = S.matched_entities(by_alias, by_vector, top_n).select("entity_id")
+    own = checkpointed(nodes.join(F.broadcast(chosen), "entity_id", "left_semi"))  # at most top_n entities
+    ok = facts.filter(V.is_vector(F.col("text_embedding"), len(vec))).select(F.col("id").alias("f_id"), "text_embedding")
+    known = own.join(ok, F.col("fact_id") == F.col("f_id"), "left")
+    like = F.col("text_embedding")
+    if "description_embedding" in own.columns:
+        like = F.coalesce("description_embedding", like)
+    scores = known.select("id", F.round(F.when(like.isNotNull(), V.cosine(like, q)).otherwise(0.0), 6).alias("score"))
+    found = beam(own, scores, width).select(F.col("fact_id").alias("id")).distinct()
+    return found.join(ok, F.col("id") == F.col("f_id")).select("id", F.round(V.inner_product(F.col("text_embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def valid_groups(groups: list[dict], children: list[int]) -> list[dict]:
+    """groups (label, members) of a node's children as they are; an unknown or repeated member, a group of fewer than two, or one without a label is an error."""
+    seen: set[int] = set()
+    for g in groups:
+        members = g.get("members") or []
+        if not (g.get("label") or "").strip() or len(members) < 2 or len(set(members)) < len(members):
+            raise ValueError(f"a group needs a label and two different members: {g}")
+        if not set(members) <= set(children) or seen & set(members):
+            raise ValueError(f"unknown members, or members of two groups: {g}")
+        seen |= set(members)
+    return groups
+
+
+def valid_moves(moves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, new_parent) of moves (id, action, target): 'PROMOTE' hangs a node on its grandparent, 'RELOCATE' on the target, a sibling of its parent. Roots, nodes right
+    under a root (PROMOTE), and targets that are no sibling are left out; a node with two moves is an error."""
+    if moves.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise ValueError("a node with two moves")
+    own = nodes.select("id", "parent_id")
+    p = nodes.select(F.col("id").alias("p"), F.col("parent_id").alias("over"))
+    t = nodes.select(F.col("id").alias("target"), F.col("parent_id").alias("t_over"))
+    placed = moves.join(own, "id").join(p, F.col("parent_id") == F.col("p")).join(t, "target", "left")
+    sibling = (F.col("t_over") == F.col("over")) & (F.col("target") != F.col("parent_id"))
+    to = F.when(F.col("action") == "PROMOTE", F.col("over")).when((F.col("action") == "RELOCATE") & sibling, F.col("target"))
+    return placed.select("id", to.alias("new_parent")).filter("new_parent is not null")
+
+
+#: Fixed value: under so many children a node is merged with its groups' parent instead of being wrapped.
+WRAP_FROM = 8
+
+
+def audited_down(nodes: DataFrame, group, first_id: int) -> DataFrame:
+    """nodes after the children of each entity's most indebted nodes are grouped by a hook: group(ids, descriptions) gives (label, members) dicts.
+
+    A node with fewer than WRAP_FROM children first takes the children of its aspects over (they are flattened); wrapped groups become aspects with
+    ids from first_id on. An invalid answer leaves its node as it is. One row for each child of a candidate goes through Arrow.
+    """
+    candidates = checkpointed(audit_candidates(with_debt(nodes)).select("id"))
+    width = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    narrow = candidates.join(width, "id").filter(F.col("n") < WRAP_FROM).select("id")
+    aspects = nodes.filter("fact_id is null").join(narrow.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select(F.col("id").alias("g"), F.col("parent_id").alias("to"))
+    aspects = checkpointed(aspects.join(candidates.select(F.col("id").alias("g")), "g", "left_anti"))
+    flat = nodes.join(aspects.select(F.col("g").alias("id")), "id", "left_anti").join(aspects, F.col("parent_id") == F.col("g"), "left")
+    flat = checkpointed(flat.withColumn("parent_id", F.coalesce("to", "parent_id")).select(*nodes.columns))
+    kids = flat.join(candidates.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("id", "description"))).alias("k"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for parent, k in zip(batch["parent_id"], batch["k"]):
+                ids = [int(x["id"]) for x in k]
+                try:
+                    rows += [(int(parent), g["label"], sorted(g["members"])) for g in valid_groups(group(ids, [x["description"] for x in k]), ids)]
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["parent_id", "description", "members"])
+
+    found = checkpointed(kids.mapInPandas(run, "parent_id long, description string, members array<long>"))
+    w = Window.orderBy("parent_id", F.col("members")[0])  # one row a group of the few audited nodes
+    return grouped(flat, found.withColumn("group_id", (F.row_number().over(w) + first_id - 1).cast("long")))
+
+
+def propagated(nodes: DataFrame, summarise, changed: DataFrame, least_fresh: int = 3) -> DataFrame:
+    """nodes after the descriptions over changed ones (id) are made anew, deepest first: summarise(descriptions of the children) gives a node's own.
+
+    A change goes on to the parent only if that has had least_fresh changes since its last summary, this one included; fresh_count counts them and
+    starts again at 0. Each level is one pass over the nodes of that depth.
+    """
+    cur = checkpointed(nodes.withColumn("fresh_count", F.coalesce("fresh_count", F.lit(0)).cast("int")))
+    depth = checkpointed(hierarchy(nodes.withColumn("created_at", F.lit(0))).filter("root_id <> -1").select(F.col("id").alias("d_id"), "depth"))
+    inner = cur.filter("fact_id is null").select("id")
+    dirty = checkpointed(changed.select("id").distinct().join(inner, "id").join(depth, F.col("id") == F.col("d_id")).select("id", "depth"))
+    kinds = dict(cur.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n_id": batch["n_id"], "new": [summarise([t for t in k if t]) for k in batch["k"]]})
+
+    while (deepest := dirty.agg(F.max("depth")).first()[0]) is not None:
+        now = dirty.filter(F.col("depth") == deepest).select(F.col("id").alias("n_id"))
+        kids = cur.join(now, F.col("parent_id") == F.col("n_id")).groupBy("n_id").agg(F.array_sort(F.collect_list(F.struct("id", "description"))).alias("k")).withColumn("k", F.transform("k", lambda x: x["description"]))
+        said = checkpointed(kids.mapInPandas(run, "n_id long, new string"))
+        up = cur.join(said, F.col("id") == F.col("n_id")).filter("parent_id is not null").groupBy(F.col("parent_id").alias("u_id")).agg(F.count(F.lit(1)).alias("u_n"))
+        fresh = F.when(F.col("n_id").isNotNull(), 0).otherwise(F.col("fresh_count") + F.coalesce("u_n", F.lit(0)))
+        cur = checkpointed(cur.join(said, F.col("id") == F.col("n_id"), "left").join(up, F.col("id") == F.col("u_id"), "left").withColumns({"description": F.coalesce("new", "description"), "fresh_count": fresh.cast(kinds["fresh_count"])}).select(*nodes.columns))
+        further = cur.join(up, F.col("id") == F.col("u_id"), "left_semi").filter(F.col("fresh_count") >= least_fresh).join(depth, F.col("id") == F.col("d_id")).select("id", "depth")
+        dirty = checkpointed(dirty.filter(F.col("depth") < deepest).unionByName(further).distinct())
+    return cur
+
+
+def updated(nodes: DataFrame, placed: DataFrame, group, summarise, first_id: int) -> DataFrame:
+    """The whole round on trees: new facts (node_id, fact_id, leaf_id) are attached, indebted nodes audited, thin aspects dissolved, and descriptions made anew up from the nodes that got facts."""
+    grown = checkpointed(attached(nodes, placed))
+    kept = dissolved(audited_down(grown, group, first_id))
+    parents = placed.select(F.col("leaf_id").alias("l")).join(kept.select(F.col("id").alias("l"), "parent_id"), "l").select(F.col("parent_id").alias("id"))
+    return propagated(kept, summarise, parents)

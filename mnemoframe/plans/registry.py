@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core", "scalars", "retrieval", "more")
+MODULES = ("core", "scalars", "retrieval", "more", "paths")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

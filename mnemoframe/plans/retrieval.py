@@ -50,11 +50,6 @@ _SEARCHED = r""",
 srch AS (SELECT id, coalesce(nullif(trim(search_text), ''), regexp_replace(regexp_replace(text, '\[([^\[\]]+?)::([^\[\]]+)\]', '\1', 'g'), '\[([^\[\]:]+)\]', '\1', 'g')) AS st FROM act)"""
 
 
-def searched(facts):
-    """facts with st, the text that is searched."""
-    return facts.withColumn("st", F.coalesce(F.nullif(F.trim("search_text"), F.lit("")), X.search_text(F.col("text"), F.array().cast("array<string>"))))
-
-
 def facts_bm25(name: str, terms: str = _TERMS) -> str:
     return _SEARCHED + bm25("srch", "id", "st", name, terms, True)
 
@@ -64,7 +59,7 @@ def _facts(c):
 
 
 def _fact_index(c):
-    return S.Index(searched(_facts(c)), "id", "st", True)
+    return S.Index(M.with_searched_text(_facts(c)), "id", "st", True)
 
 
 def _vector(c, fact_id: int = 2) -> list[float]:

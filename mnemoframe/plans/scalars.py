@@ -185,8 +185,8 @@ def j9_tasks_sessions(c):
 
 @query("SELECT a.id AS new_id, min(b.id) AS stored_id FROM fcts a JOIN fcts b ON a.task_id = b.task_id AND a.text = b.text AND b.id < a.id GROUP BY 1")
 def j13_exact_fact_match(c):
-    a, b = c.facts.select(F.col("id").alias("new_id"), "task_id", "text"), c.facts.select(F.col("id").alias("stored_id"), "task_id", "text")
-    return a.join(b, ["task_id", "text"]).filter("stored_id < new_id").groupBy("new_id").agg(F.min("stored_id").alias("stored_id"))
+    first = c.facts.groupBy("task_id", "text").agg(F.min("id").alias("stored_id"))
+    return c.facts.select(F.col("id").alias("new_id"), "task_id", "text").join(first, ["task_id", "text"]).filter("stored_id < new_id").select("new_id", "stored_id")
 
 
 @query("""SELECT task_id, name, entity_id FROM (
