@@ -59,6 +59,10 @@ def top_by_vector(df: DataFrame, vec_col: str, query: list[float], id_col: str,
     return scored.orderBy(F.desc("score"), id_col).limit(n)
 
 
+#: What a matrix of queries may take in every task.
+MOST_QUERY_BYTES = 1 << 28
+
+
 def nearest_of_few(queries: DataFrame, items: DataFrame, k: int, least: float, most_queries: int = 100_000) -> DataFrame:
     """(query_id, item_id, score): of each query (query_id, query_vec) the k items (item_id, item_vec) of inner product >= least; ties go to the smaller id.
 
@@ -69,6 +73,8 @@ def nearest_of_few(queries: DataFrame, items: DataFrame, k: int, least: float, m
     if len(asked) > most_queries:
         raise ValueError(f"more than {most_queries} queries")
     asked = [(q, np.asarray(v, np.float64)) for q, v in zip(asked["query_id"], asked["query_vec"]) if v is not None]
+    if sum(v.nbytes for _, v in asked) > MOST_QUERY_BYTES:
+        raise ValueError(f"more than {MOST_QUERY_BYTES} bytes of queries")
     held = items.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

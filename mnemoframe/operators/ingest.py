@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.hooks import retried
 from mnemoframe.operators import memory as M
 from mnemoframe.runtime import checkpointed
 
@@ -85,7 +86,7 @@ def default_facts(lines: list[str], names: list[str]) -> list[str]:
 
 @dataclass
 class Extraction:
-    """Hooks of the digest: from a batch's lines to names, from lines and names to facts. A failing hook gives nothing for its batch."""
+    """Hooks of the digest: from a batch's lines to names, from lines and names to facts. A failing hook is tried again; if it goes on failing, its session stays to be done."""
 
     entities: Callable[[list[str]], list[str]] = default_entities
     facts: Callable[[list[str], list[str]], list[str]] = default_facts
@@ -119,8 +120,9 @@ def batch_lines(messages: DataFrame, most_messages: int = 50, most_chars: int =
     return M.context_tails(lines, tail)
 
 
-def extracted(batches: DataFrame, how: Profile | None = None) -> DataFrame:
-    """(session_id, batch_index, fact_index, text, names) by the hooks, in Arrow batches; facts that fail the checks are left out."""
+def attempted(batches: DataFrame, how: Profile | None = None) -> DataFrame:
+    """(session_id, batch_index, fact_index, text, names, error) by the hooks, in Arrow batches; facts that fail the checks are left out. A batch whose hook still
+    fails after retries gives one row with its error and no text."""
     how = how or profile(None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,14 +130,19 @@ def extracted(batches: DataFrame, how: Profile | None = None) -> DataFrame:
             rows = []
             for s, b, lines in zip(frame["session_id"], frame["batch_index"], frame["lines"]):
                 try:
-                    names = how.fixed_entities or how.extraction.entities(list(lines))
-                    rows += [(s, b, i, t, names) for i, t in enumerate(how.extraction.facts(list(lines), names))]
-                except Exception:  # noqa: BLE001
-                    continue
-            yield pd.DataFrame(rows, columns=["session_id", "batch_index", "fact_index", "text", "names"])
+                    names = how.fixed_entities or retried(how.extraction.entities)(list(lines))
+                    rows += [(s, b, i, t, names, None) for i, t in enumerate(retried(how.extraction.facts)(list(lines), names))]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((s, b, -1, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["session_id", "batch_index", "fact_index", "text", "names", "error"])
+
+    out = batches.select("session_id", "batch_index", "lines").mapInPandas(run, "session_id long, batch_index int, fact_index int, text string, names array<string>, error string")
+    return out.filter(F.col("error").isNotNull() | (valid_fact(F.col("text")) & (F.size(uncovered_refs(F.col("text"), F.col("names"))) == 0)))
 
-    out = batches.select("session_id", "batch_index", "lines").mapInPandas(run, "session_id long, batch_index int, fact_index int, text string, names array<string>")
-    return out.filter(valid_fact(F.col("text")) & (F.size(uncovered_refs(F.col("text"), F.col("names"))) == 0))
+
+def extracted(batches: DataFrame, how: Profile | None = None) -> DataFrame:
+    """(session_id, batch_index, fact_index, text, names): what attempted() gives of batches whose hooks did not fail."""
+    return attempted(batches, how).filter("error is null").drop("error")
 
 
 def written(facts: DataFrame, sources: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,9 +160,11 @@ def written(facts: DataFrame, sources: DataFrame, new: DataFrame) -> tuple[DataF
 
 
 def digest(sessions: DataFrame, messages: DataFrame, facts: DataFrame, sources: DataFrame, how: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts to add, sources to add, sessions done) of all sessions with digested_at null, in order of their numbers."""
+    """(facts to add, sources to add, sessions done) of all sessions with digested_at null, in order of their numbers. A session with a batch whose hook failed gives nothing and is not done."""
     pending = sessions.filter("digested_at is null").select(F.col("id").alias("session_id"), "task_id", "session_number")
     own = messages.join(pending.select("session_id"), "session_id", "left_semi")
-    found = extracted(batch_lines(own), profile(how)).join(pending, "session_id").select("task_id", "session_id", "text")
+    tried = checkpointed(attempted(batch_lines(own), profile(how)))
+    failed = tried.filter("error is not null").select("session_id").distinct()
+    found = tried.join(failed, "session_id", "left_anti").join(pending, "session_id").select("task_id", "session_id", "text")
     rows, links = written(facts, sources, found)
-    return rows, links, pending.select("session_id")
+    return rows, links, pending.select("session_id").join(failed, "session_id", "left_anti")

@@ -275,11 +275,12 @@ def e7_exact_names(c):
     return E.exact_layer(c.entities)
 
 
-@query(r""", ch AS (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(replace(lower(canonical_ref), ' ', ''), '')) AS c FROM ents) WHERE c <> '' GROUP BY 1, 2),
+@query(r""", fz AS (SELECT id, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(canonical_ref), '\s+', ' ', 'g')), '[^a-z0-9'' ]', ' ', 'g'), '\s+', ' ', 'g')) AS f FROM ents),
+ch AS (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(replace(f, ' ', ''), '')) AS c FROM fz) WHERE c <> '' GROUP BY 1, 2),
 h AS (SELECT id, -sum(p * log2(p)) AS h FROM (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM ch) GROUP BY 1)
-SELECT id, (length(canonical_ref) < 6 AND len(string_split_regex(trim(canonical_ref), '\s+')) < 2) OR coalesce(h, 0) < 1.5 AS rejected FROM ents LEFT JOIN h USING (id)""")
+SELECT id, (length(f) < 6 AND len(string_split_regex(f, '\s+')) < 2) OR coalesce(h, 0) < 1.5 AS rejected FROM fz LEFT JOIN h USING (id)""")
 def e5_rejected_names(c):
-    return c.entities.select("id", E.entropy_rejected(F.col("canonical_ref")).alias("rejected"))
+    return c.entities.select("id", E.entropy_rejected(X.fuzzy_name(F.col("canonical_ref"))).alias("rejected"))
 
 
 @query("SELECT task_id, text, min(id) AS kept, count(*) AS n FROM fcts GROUP BY 1, 2")

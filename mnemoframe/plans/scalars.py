@@ -360,12 +360,6 @@ def u4_facts_in_trees(c):
     return c.facts.select("id").intersect(c.nodes.select(F.col("fact_id").alias("id")))
 
 
-@query("SELECT a.fact_id AS fact_a, b.fact_id AS fact_b FROM (SELECT task_id, fact_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS e FROM refs WHERE entity_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT entity_id) >= 2) a JOIN (SELECT task_id, fact_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS e FROM refs WHERE entity_id IS NOT NULL GROUP BY 1, 2) b ON a.task_id = b.task_id AND a.e = b.e AND a.fact_id < b.fact_id")
-def u5_same_entity_sets(c):
-    s = c.refs.filter("entity_id is not null").groupBy("task_id", "fact_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e")).filter(F.size("e") >= 2)
-    return s.select("task_id", "e", F.col("fact_id").alias("fact_a")).join(s.select("task_id", "e", F.col("fact_id").alias("fact_b")), ["task_id", "e"]).filter("fact_a < fact_b").select("fact_a", "fact_b")
-
-
 @query("SELECT fact_id, alias_text FROM own")
 def x1_bracket_refs(c):
     return c.facts.select(F.col("id").alias("fact_id"), F.explode(X.bracket_refs(F.col("text"))).alias("alias_text"))

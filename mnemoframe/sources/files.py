@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import text as X
 
 #: Question categories of dialogue sets that are kept, and file types that can be read.
-KEPT_CATEGORIES = (1, 2, 3, 4)
+CATEGORIES = {1: "Multi Hop", 2: "Temporal", 3: "Open Domain", 4: "Single Hop"}
 TEXT_SUFFIXES = frozenset("txt md markdown csv tsv json jsonl log html htm".split())
 OFFICE_SUFFIXES = frozenset("docx pptx xlsx".split())
 
@@ -28,17 +28,18 @@ def dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(messages, questions) of a JSON array of items with dynamic keys session_1, session_1_date_time and so on.
 
     messages: task_id, session_number, session_time_raw, position, speaker, content; a picture's caption follows its text in brackets.
-    questions: task_id, question_id, question, answer, category, evidence (joined S1:2 refs), only of the kept categories.
+    questions: task_id, question_id, question, answer, category, evidence (joined S1:2 refs), only of the four categories, by their names.
     """
     raw = spark.read.option("multiLine", True).schema("sample_id string, conversation map<string,string>, qa array<struct<question:string,answer:string,category:int,evidence:array<string>>>").json(path)
     entry = raw.select(F.col("sample_id").alias("task_id"), F.explode("conversation").alias("key", "value"))
     turns = entry.filter(F.col("key").rlike(r"^session_\d+$")).select("task_id", F.regexp_extract("key", r"(\d+)$", 1).cast("int").alias("session_number"), F.posexplode(F.from_json("value", f"array<{_TURN}>")).alias("position", "t"))
     times = entry.filter(F.col("key").rlike(r"^session_\d+_date_time$")).select("task_id", F.regexp_extract("key", r"_(\d+)_", 1).cast("int").alias("session_number"), F.col("value").alias("session_time_raw"))
-    caption = F.when(F.coalesce("t.blip_caption", F.lit("")) != "", F.concat(F.lit(" [image: "), F.col("t.blip_caption"), F.lit("]"))).otherwise("")
-    messages = turns.join(times, ["task_id", "session_number"], "left").select("task_id", "session_number", "session_time_raw", "position", F.col("t.speaker").alias("speaker"), F.concat(F.coalesce("t.text", F.lit("")), caption).alias("content"))
-    qa = raw.select(F.col("sample_id").alias("task_id"), F.posexplode("qa").alias("n", "q")).filter(F.col("q.category").isin(*KEPT_CATEGORIES))
+    said = F.coalesce("t.text", F.lit(""))
+    caption = F.when(F.coalesce("t.blip_caption", F.lit("")) != "", F.concat(F.when(said != "", F.lit(" ")).otherwise(""), F.lit("["), F.col("t.blip_caption"), F.lit("]"))).otherwise("")
+    messages = turns.join(times, ["task_id", "session_number"], "left").select("task_id", "session_number", "session_time_raw", "position", F.col("t.speaker").alias("speaker"), F.concat(said, caption).alias("content"))
+    qa = raw.select(F.col("sample_id").alias("task_id"), F.posexplode("qa").alias("n", "q")).filter(F.col("q.category").isin(*CATEGORIES))
     refs = F.filter(F.transform("q.evidence", X.evidence_ref), lambda r: r.isNotNull())
-    questions = qa.select("task_id", F.concat("task_id", F.lit("-q"), F.col("n").cast("string")).alias("question_id"), "q.question", "q.answer", F.col("q.category").cast("string").alias("category"), F.array_join(refs, ", ").alias("evidence"))
+    questions = qa.select("task_id", F.concat("task_id", F.lit("-q"), F.col("n").cast("string")).alias("question_id"), "q.question", "q.answer", F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])[F.col("q.category")].alias("category"), F.array_join(refs, ", ").alias("evidence"))
     return messages, questions
 
 

@@ -15,7 +15,7 @@ def test_dialogues(spark, tmp_path):
     }
     (tmp_path / "d.json").write_text(json.dumps([item]))
     messages, questions = files.dialogues(spark, str(tmp_path / "d.json"))
-    assert [(r.position, r.content, r.session_time_raw) for r in messages.orderBy("position").collect()] == [(0, "hi", "1:56 pm on 8 May, 2023"), (1, "look [image: a cat]", "1:56 pm on 8 May, 2023")]
+    assert [(r.position, r.content, r.session_time_raw) for r in messages.orderBy("position").collect()] == [(0, "hi", "1:56 pm on 8 May, 2023"), (1, "look [a cat]", "1:56 pm on 8 May, 2023")]
     assert [(r.question, r.evidence) for r in questions.collect()] == [("q1", "S1:1")]
 
 
