@@ -25,6 +25,8 @@ from mnemoframe.runtime import checkpointed, few_rows
 MOST_LABELLED = 20_000
 #: Terms whose weights a task holds at a time (48 bytes each); more are applied block after block.
 TERMS_PER_BLOCK = 1 << 20
+#: Terms of documents that are scored at once.
+TERMS_PER_PART = 1 << 16
 #: A sentence is about a subject if the log odds against the common language reach this.
 SENTENCE_ODDS = 3.0
 BEAM = 8
@@ -76,8 +78,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").select("doc_id", "text", F.col("doc_kind").alias("kind"), "source")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known: dict[str, int] = {}  # of this batch only
+        for batch in (whole.iloc[lo : lo + 1000] for whole in batches for lo in range(0, len(whole), 1000)):
+            known: dict[str, int] = {}  # of these rows only
             parts = [[_hashed(s, known) for s in sentences(t)] if t and t.strip() else None for t in batch["text"]]
             ok = [p is not None for p in parts]
             kept = [p for p in parts if p is not None]
@@ -104,6 +106,15 @@ class _Batch:
         return cls(flat & ~1, (flat & 1) + 1, np.repeat(np.arange(len(per)), per), np.repeat(np.arange(len(sizes)), [len(s) for s in sizes]), len(sizes))
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of tokenised() in parts of about TERMS_PER_PART terms, one row at least."""
+    for batch in batches:
+        if len(batch):
+            part = np.cumsum([len(t) for t in batch["terms"]]) // TERMS_PER_PART
+            for lo, hi in zip((starts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]])), [*starts[1:], len(part)]):
+                yield batch.iloc[lo:hi].reset_index(drop=True)
+
+
 class Lexicon:
     """Log odds of each known term for each subject against an even chance, in broadcast blocks of TERMS_PER_BLOCK terms."""
 
@@ -156,7 +167,7 @@ def _taught_counts(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     k = lexicon.k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             b = _Batch.of(batch)
             if not len(b.term):
                 continue
@@ -295,7 +306,7 @@ def train(tokens: DataFrame, labels: DataFrame, subjects: DataFrame, most_labell
     kind = dict(labelled.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             if len(batch):
                 x = features(lexicon, batch, usual).astype(np.float32)
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [r.ravel() for r in x]})
@@ -317,7 +328,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, subject string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             if len(batch):
                 doc, at = np.nonzero(chain.decode(batch))
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[doc], "subject": [chain.names[i] for i in at]})
