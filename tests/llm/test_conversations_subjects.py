@@ -68,6 +68,24 @@ def test_reasons(spark):
     assert conversations.assemble(s.limit(0), m, a)[0].collect() == [] and conversations.assemble(s, m.limit(0), a)[0].collect()[0].reason == "empty"
 
 
+def test_planted_fragments(spark):
+    """Fragments that overlap are merged by their hashes; one that goes on in two ways, or contradicts where it overlaps, breaks its session."""
+    who = ["me", "bot"]
+    part = lambda first_id, session, positions, tag="t": [(first_id + i, session, p, who[p % 2], f"{tag}{p}", "", 0) for i, p in enumerate(positions)]
+    data = part(0, 1, range(4)) + part(10, 1, range(2, 6)) + part(20, 1, range(5, 8)) + part(30, 1, range(3, 5))
+    data += part(100, 2, range(4)) + part(110, 2, range(2, 6), "u")  # 2 and 3 again, saying something else
+    data += part(200, 3, range(3)) + part(210, 3, range(3, 6)) + part(220, 3, range(3, 8), "v")  # two ways on from 2
+    data += part(300, 4, range(1, 3)) + part(310, 4, range(4, 7))  # 3 is missing
+    data += part(400, 5, [5, 4, 3, 2, 1, 0])  # stored from the end
+    turns, frags = conversations.fragments(tables(spark, data, range(1, 6))[1], tables(spark, data, [])[2])
+    _, edges = conversations.overlap_edges(frags)
+    assert sorted(r.n for r in edges.collect() if r.n) == [1, 2]  # session 1; that of positions 3 and 4 is contained
+    got, said = conversations.assemble(*tables(spark, data, range(1, 6)))
+    assert dict(map(tuple, got.collect())) == {1: None, 2: "broken", 3: "broken", 4: "broken", 5: None}
+    rows = sorted((r.session_id, r.turn, r.content) for r in said.collect())
+    assert rows == [(1, i, f"t{i}") for i in range(8)] + [(5, i, f"t{i}") for i in range(6)]
+
+
 TOPICS = {"law": "judge court plaintiff statute verdict appeal".split(), "music": "violin chord melody tempo sonata choir".split(), "sport": "referee striker goal league coach medal".split()}
 
 

@@ -196,4 +196,4 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, rare):
 
 def test_pruning_limits_are_monotone():
     least = nearduplicates.least_matches()
-    assert list(least) == sorted(least) and least[-1] < nearduplicates.HASHES * 0.7
+    assert list(least) == sorted(least) and least[-1] < nearduplicates.HASHES * (1 + 0.7) / 2
