@@ -27,9 +27,9 @@ def most_depth(n: Column) -> Column:
 
 
 def least_support(depth: Column) -> Column:
-    """Support that a node of the depth should have; values within a tenth of a whole number are that number, others go up."""
+    """Support that a node of the depth should have; values within a tenth of a whole number are that number, others go up. A double: from depth 30 on it is beyond an int."""
     x = F.exp((depth - 2) / 1.3)
-    return F.when(F.abs(x - F.round(x)) <= 0.1, F.round(x)).otherwise(F.ceil(x)).cast("int")
+    return F.when(F.abs(x - F.round(x)) <= 0.1, F.round(x)).otherwise(F.ceil(x)).cast("double")
 
 
 def structural_debt(uncertainty: Column, width: Column, support: Column, depth: Column, limit: Column) -> Column:

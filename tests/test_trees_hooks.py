@@ -35,6 +35,12 @@ def test_dissolving_goes_on_until_nothing_is_thin(spark):
     assert G.dissolved(nodes.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("deep", [40, 1000])  # beyond an int, and beyond a double
+def test_thin_chains_of_any_depth_are_found(spark, deep):
+    chain = tree(spark, [(1, None, None, 2**31 - 1), *[(k, k - 1, None, 2) for k in range(2, deep)], *[(10_000 + k, k, k, 1) for k in range(2, deep)], (20_000, deep - 1, 9, 1)])
+    assert {r.id for r in G.dissolvable(chain).collect()} == set(range(5, deep))
+
+
 def test_debt_follows_the_nodes_own_support(spark):
     nodes = tree(spark, [(1, None, None, 100), (2, 1, None, 1), (3, 2, None, 1), (4, 3, None, 1), (5, 4, 50, 1)])
     debt = {r.id: r.debt for r in G.with_debt(nodes).collect()}
