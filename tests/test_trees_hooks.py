@@ -41,6 +41,11 @@ def test_thin_chains_of_any_depth_are_found(spark, deep):
     assert {r.id for r in G.dissolvable(chain).collect()} == set(range(5, deep))
 
 
+def test_deep_thin_chains_dissolve_whole(spark):
+    chain = tree(spark, [(1, None, None, 100), *[(k, k - 1, None, 2) for k in range(2, 60)], *[(100 + k, k, k, 1) for k in range(2, 60)], (200, 59, 9, 1)])
+    assert links(G.dissolved(chain)) == {1: None, 2: 1, 3: 2, 4: 3, 102: 2, 103: 3, 200: 4, **{100 + k: 4 for k in range(4, 60)}}
+
+
 def test_debt_follows_the_nodes_own_support(spark):
     nodes = tree(spark, [(1, None, None, 100), (2, 1, None, 1), (3, 2, None, 1), (4, 3, None, 1), (5, 4, 50, 1)])
     debt = {r.id: r.debt for r in G.with_debt(nodes).collect()}
