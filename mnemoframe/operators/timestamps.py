@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.runtime import checkpointed, few_rows
+from mnemoframe.runtime import BROADCAST_KEYS, checkpointed, few_rows, hot_keys, skew_join
 
 #: Month names in English, German, Spanish and French, in full and shortened, by number.
 MONTHS = {
@@ -35,6 +35,8 @@ MONTHS = {
 }
 #: Distinct (zone, year) spans that may be broadcast: 100,000 rows of under 100 bytes.
 BROADCAST_SPANS = 100_000
+#: Messages of one session that one task of the join may hold; the session of more is copied to as many blocks as they need.
+SESSION_CAP = 1 << 17
 
 _MONTH = "(" + "|".join(sorted((n for names in MONTHS.values() for n in names.split()), key=lambda n: (-len(n), n))) + ")\\.?"
 _DAYNAME = "(?:[^\\W\\d_]{2,12}\\.?,? )?"
@@ -204,6 +206,7 @@ def to_utc(times: DataFrame, raw_col: str, abbrevs: DataFrame, default_zone_col:
     parsed = parsed.withColumns({"_offset": offset.cast("long") * 60, "_s": F.floor(F.col("_p.local") / 1_000_000), "_zone": F.when(offset.isNull(), region)})
     parsed = parsed.withColumn("_year", F.when(F.col("_zone").isNotNull(), F.year(F.timestamp_seconds("_s").cast("date"))))
     wanted = parsed.filter("_zone is not null and _year is not null").select(F.col("_zone").alias("zone"), F.col("_year").alias("year")).distinct()
+    wanted = checkpointed(wanted)  # counted and looked up
     spans = zone_spans(_proper_zone_names(wanted)).withColumn("zone", F.lower("zone"))
     small = wanted.limit(BROADCAST_SPANS // 4 + 1).count() <= BROADCAST_SPANS // 4
     spans = F.broadcast(spans) if small else spans
@@ -230,18 +233,33 @@ def _proper_zone_names(zones: DataFrame) -> DataFrame:
     return zones.mapInPandas(run, "zone string, year int")
 
 
-def message_times(messages: DataFrame, sessions: DataFrame, zones: DataFrame, abbrevs: DataFrame, salts: int = 16) -> DataFrame:
+def message_times(messages: DataFrame, sessions: DataFrame, zones: DataFrame, abbrevs: DataFrame, cap: int = SESSION_CAP) -> DataFrame:
     """(src, row_id, utc_us, time_status, utc) of every id in chat_messages ('message') and chat_sessions ('session').
 
-    Copies of an id count once. A message of an unknown session has no zone of its own. The join of messages with sessions is salted: a
-    session may hold any share of the messages. zones has one row for each chat; only its distinct (chat_id, zone_name) is used.
+    Copies of an id count once. A message of an unknown session has no zone of its own. A session may hold any share of the messages: those with
+    more than cap are dealt to blocks, all others are shuffled once, and no session is broadcast, as their size is only guessed when the join is
+    planned. zones has one row for each chat; only its distinct (chat_id, zone_name) is used.
     """
     zone_of = zones.filter("chat_id is not null").groupBy("chat_id").agg(F.min("zone_name").alias("zone_name"))
     session = sessions.filter("id is not null").groupBy("id").agg(F.min(F.struct("session_time_raw", "chat_id")).alias("s")).select("id", "s.session_time_raw", "s.chat_id")
-    session = session.join(zone_of, "chat_id", "left").select(F.col("id").alias("row_id"), F.col("session_time_raw").alias("raw"), "zone_name")
+    if zone_of.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        session = session.join(F.broadcast(zone_of), "chat_id", "left")
+    else:
+        session = skew_join(session, zone_of.withColumnRenamed("chat_id", "_chat"), "chat_id", "_chat", "id")
+    session = session.select(F.col("id").alias("row_id"), F.col("session_time_raw").alias("raw"), "zone_name")
     message = messages.filter("id is not null").groupBy("id").agg(F.min(F.struct("message_time_raw", "session_id")).alias("m")).select(F.col("id").alias("row_id"), F.col("m.message_time_raw").alias("raw"), "m.session_id")
-    message = message.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-    spread = session.select(F.col("row_id").alias("_sid"), "zone_name").withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    message = message.join(spread, (F.col("session_id") == F.col("_sid")) & (F.col("_salt") == F.col("_salt2")), "left").select("row_id", "raw", "zone_name")
+    hot = checkpointed(hot_keys(messages.filter("session_id is not null").select("session_id"), "session_id", cap).withColumnRenamed("session_id", "_hot"))
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    small = F.broadcast(hot) if found <= BROADCAST_KEYS else hot
+    own = session.select(F.col("row_id").alias("_sid"), "zone_name")
+    blocks = F.coalesce("_blocks", F.lit(1)) if found else F.lit(1)
+    if found:
+        message, own = message.join(small, F.col("session_id") == F.col("_hot"), "left"), own.join(small, F.col("_sid") == F.col("_hot"), "left")
+        own = own.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    else:
+        own = own.withColumn("_salt2", F.lit(0).cast("long"))
+    # messages without a session meet none, so they go anywhere
+    message = message.withColumn("_salt", F.when(F.col("session_id").isNull(), F.xxhash64("row_id")).otherwise(F.pmod(F.xxhash64("row_id"), blocks)))
+    message = message.join(own.hint("merge"), (F.col("session_id") == F.col("_sid")) & (F.col("_salt") == F.col("_salt2")), "left").select("row_id", "raw", "zone_name")
     both = message.withColumn("src", F.lit("message")).unionByName(session.withColumn("src", F.lit("session")))
     return to_utc(both, "raw", abbrevs, "zone_name").select("src", "row_id", "utc_us", "time_status", "utc")

@@ -79,3 +79,19 @@ def test_tables_with_copies_and_unknown_sessions(spark):
     assert {(r.src, r.row_id): r.utc for r in got.collect()} == {("message", 1): "2024-01-01T01:00:00.000000Z", ("message", 2): None, ("message", 3): "2024-01-01T10:00:00.000000Z", ("session", 10): "2024-01-01T10:00:00.000000Z"}
     empty = message_times(m.limit(0), s.limit(0), z.limit(0), spark.createDataFrame([], "abbr string, offset_minutes int"))
     assert empty.collect() == []
+
+
+def test_no_session_is_broadcast_and_a_hot_one_is_dealt_to_blocks(spark, monkeypatch):
+    n = 300
+    m = spark.createDataFrame([(k, None if k % 7 == 0 else 10 if k % 2 else 11 + k, "2024-01-01 10:00") for k in range(n)], "id long, session_id long, message_time_raw string")
+    s = spark.createDataFrame([(10 + k, f"c{k % 2}", "1704103200") for k in range(n)], "id long, chat_id string, session_time_raw string")
+    z = spark.createDataFrame([("c0", "Asia/Tokyo"), ("c1", "Europe/Berlin")], "chat_id string, zone_name string")
+    abbrevs = spark.createDataFrame(ABBREVS, "abbr string, offset_minutes int")
+    utc = {"c0": "2024-01-01T01:00:00.000000Z", "c1": "2024-01-01T09:00:00.000000Z"}
+    expected = {k: None if k % 7 == 0 else utc["c0"] if k % 2 or 11 + k >= 10 + n else utc[f"c{(k + 1) % 2}"] for k in range(n) if k % 2 or 11 + k < 10 + n or k % 7 == 0}
+    for cap in (5, 1 << 17):
+        got = {r.row_id: r.utc for r in message_times(m, s, z, abbrevs, cap).filter("src = 'message'").collect()}
+        assert len(got) == n and {k: got[k] for k in expected} == expected
+    monkeypatch.setattr("mnemoframe.operators.timestamps.to_utc", lambda both, *_: both.withColumns({c: both["zone_name"] for c in ("utc_us", "time_status", "utc")}))
+    plan = message_times(m, s, z, abbrevs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [session_id" in plan and "BroadcastHashJoin [session_id" not in plan and "Generate" not in plan
