@@ -102,6 +102,12 @@ def test_hot_name(spark, monkeypatch):
     assert got[got.id < 1000].grp.nunique() == 1 and len(got) == 100
 
 
+def test_people_of_few_statements_are_in_a_group(spark):
+    data = [(1, 1, "Nuria Veoviar", "from Shedai, works as a baker", "", ""), (2, 1, "Nuria Veoviar", "from Shedai, works as a baker", "", ""), (3, 1, "crimson flask", "kept in Shedai, rarely used", "", "")]
+    got = names.same_names(spark.createDataFrame(data, SCHEMA)).toPandas()
+    assert sorted(got.id) == [1, 2] and got.grp.nunique() == 1
+
+
 def brute_neighbours(vectors, k=5, least=0.9):
     ids = sorted(vectors)
     m = np.array([vectors[i] for i in ids], float)
