@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mnemoframe.llm import names, nearduplicates, neighbours
@@ -108,6 +109,25 @@ def test_people_of_few_statements_are_in_a_group(spark):
     assert sorted(got.id) == [1, 2] and got.grp.nunique() == 1
 
 
+def test_unlike_words_are_not_compared_letter_by_letter(monkeypatch):
+    seen = []
+    monkeypatch.setattr(names, "distance", lambda a, b, d=names.distance: seen.append((a, b)) or d(a, b))
+    a, b = ([("Works", "for", "Drouflunen"), ("from", "Jozeidour")], [("Since", "Kobeikkend"), ("Shoveltark", "branch")])
+    assert names.descriptions_agree(a, b, {}, 9.0) == 0 and not seen
+    assert names.within("peoran", "peorran", 1) and not names.within("peoran", "peorrann", 1) and names.within("abcd", "badc", 2)
+
+
+@pytest.mark.parametrize("part", [3, 1 << 20])
+def test_pairs_of_groups_against_brute_force(monkeypatch, part):
+    monkeypatch.setattr(names, "PAIRS_AT_ONCE", part, raising=False)
+    rnd = random.Random(5)
+    rows = pd.DataFrame([(g, rnd.randrange(40), rnd.randrange(2), g % 3 == 0) for g in range(60) for _ in range(rnd.randrange(1, 7))], columns=["_group", "cls", "_block", "_cross"])
+    expected = {(min(x.cls, y.cls), max(x.cls, y.cls)) for _, own in rows.groupby("_group") for x, y in itertools.combinations(own.itertuples(), 2) if x.cls != y.cls and not (x[4] and x[3] == y[3])}
+    got = [tuple(r) for r in names._pairs(rows).to_numpy().tolist()]
+    assert set(got) == expected and len(got) == len(expected)
+    assert names._pairs(rows[:0]).empty
+
+
 def brute_neighbours(vectors, k=5, least=0.9):
     ids = sorted(vectors)
     m = np.array([vectors[i] for i in ids], float)
