@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import vectors as V
 from mnemoframe.operators import search as S
 from mnemoframe.operators.hierarchy import hierarchy
-from mnemoframe.runtime import checkpointed
+from mnemoframe.runtime import checkpointed, hot_keys, over_groups, skew_join
 
 #: Weights and limits of the structure rules.
 UNCERTAINTY_STEP, WIDTH_WEIGHT, DEPTH_WEIGHT, DEBT_LIMIT, AUDITS, MOST_CHILDREN = 1.0, 3.0, 5.0, 10.0, 5, 15
@@ -98,23 +98,76 @@ def dissolvable(nodes: DataFrame) -> DataFrame:
     return own.filter((F.col("width") <= 1) | thin).select("id")
 
 
-def dissolved(nodes: DataFrame) -> DataFrame:
-    """nodes without all aspects that dissolve, round after round until none is left; their children hang on the nearest node above that stays."""
-    cur = checkpointed(nodes)
+#: Nodes of a tree that one task dissolves to the end: five numbers each. Larger trees take a round of joins at a time.
+TREE_CAP = 1 << 17
+
+
+def _dissolved_at_once(trees: pd.DataFrame) -> pd.DataFrame:
+    """(g, to) of whole trees (id, parent, a root its own; aspect, support): each node that goes, and the nearest node above it that stays when no more go."""
+    ids, aspect, support = trees["id"].to_numpy(np.int64), trees["aspect"].to_numpy(bool), trees["support"].to_numpy(np.int64)
+    order = np.argsort(ids, kind="stable")
+    over = order[np.searchsorted(ids[order], trees["parent"].to_numpy(np.int64))]
+    here = np.arange(len(ids))
+    below, stays = over != here, np.ones(len(ids), bool)
+    while True:
+        depth, top = below.astype(np.int64), over
+        while (more := depth[top]).any():
+            depth, top = depth + more, top[top]
+        width = np.bincount(over[below & stays], minlength=len(ids))
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.exp((depth - 2) / 1.3)
+            low = support < np.where(np.abs(x - np.round(x)) <= 0.1, np.round(x), np.ceil(x))
+        goes = stays & aspect & below & ((width <= 1) | ((depth[over] > 0) & low & low[over]))
+        if not goes.any():
+            return pd.DataFrame({"g": ids[~stays], "to": ids[over[~stays]]})
+        stands = np.where(goes, over, here)
+        while ((further := stands[stands]) != stands).any():
+            stands = further
+        over, stays = stands[over], stays & ~goes
+
+
+def _climbed(up: DataFrame) -> DataFrame:
+    """up (g, to), a node that goes and one above it, with the nearest above that is no g in place of to, by doubling."""
+    while True:
+        further = up.select(F.col("g").alias("to"), F.col("to").alias("over"))
+        moved = checkpointed(up.join(further, "to", "left").select("g", F.coalesce("over", "to").alias("to"), F.col("over").isNotNull().alias("moved")))
+        up = moved.select("g", "to")
+        if moved.filter("moved").isEmpty():
+            return up
+
+
+def _dissolved_by_rounds(cur: DataFrame) -> DataFrame:
+    """(g, to) as _dissolved_at_once, of trees (id, entity_id, parent_id, fact_id, support) of any size."""
+    columns, every = cur.columns, None
     while True:
         gone = checkpointed(dissolvable(cur))
         if gone.isEmpty():
-            return cur
-        # who stands for a node that goes: itself climbing over nodes that go, by doubling
-        up = cur.join(gone, "id", "left_semi").select(F.col("id").alias("g"), F.col("parent_id").alias("to"))
-        while True:
-            further = up.select(F.col("g").alias("to"), F.col("to").alias("over"))
-            moved = checkpointed(up.join(further, "to", "left").select("g", F.coalesce("over", "to").alias("to"), F.col("over").isNotNull().alias("moved")))
-            up = moved.select("g", "to")
-            if moved.filter("moved").isEmpty():
-                break
-        kept = cur.join(gone, "id", "left_anti").join(up, F.col("parent_id") == F.col("g"), "left")
-        cur = checkpointed(kept.withColumn("parent_id", F.coalesce("to", "parent_id")).select(*nodes.columns))
+            return _climbed(every) if every is not None else gone.select(F.col("id").alias("g"), F.col("id").alias("to"))
+        up = _climbed(cur.join(gone, "id", "left_semi").select(F.col("id").alias("g"), F.col("parent_id").alias("to")))
+        every = up if every is None else checkpointed(every.unionByName(up))
+        kept = skew_join(cur.join(gone, "id", "left_anti"), up, "parent_id", "g", "id")
+        cur = checkpointed(kept.withColumn("parent_id", F.coalesce("to", "parent_id")).select(*columns))
+
+
+def dissolved(nodes: DataFrame, cap: int = TREE_CAP) -> DataFrame:
+    """nodes without all aspects that dissolve, round after round until none is left; their children hang on the nearest node above that stays.
+
+    A tree dissolves by itself, so trees of up to cap nodes are each dissolved to the end in one sorted pass; nodes in circles stay.
+    """
+    cur = checkpointed(nodes)
+    own = cur.select("id", "entity_id", "parent_id", "fact_id", F.coalesce("support", F.lit(0)).alias("support"))
+    place = hierarchy(own, tree_col="entity_id").filter("depth is not null").withColumnRenamed("id", "h_id")
+    placed = checkpointed(own.join(place.hint("merge"), F.col("id") == F.col("h_id")).drop("h_id"))
+    large = checkpointed(hot_keys(placed, "root_id", cap).select("root_id"))
+    some = not large.isEmpty()
+    small = placed.join(large, "root_id", "left_anti") if some else placed
+    trees = small.select("root_id", "id", F.when(F.col("depth") == 0, F.col("id")).otherwise(F.col("parent_id")).alias("parent"), F.col("fact_id").isNull().alias("aspect"), "support")
+    up = over_groups(trees, "root_id", _dissolved_at_once, "g long, to long")
+    if some:
+        up = up.unionByName(_dissolved_by_rounds(checkpointed(placed.join(large, "root_id", "left_semi").select(*own.columns))))
+    up = checkpointed(up)
+    hung = skew_join(cur, up.hint("merge"), "parent_id", "g", "id").withColumn("parent_id", F.coalesce("to", "parent_id")).select(*nodes.columns)
+    return hung.join(up.select(F.col("g").alias("id")).hint("merge"), "id", "left_anti")
 
 
 def attached(nodes: DataFrame, placed: DataFrame) -> DataFrame:

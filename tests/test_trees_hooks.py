@@ -1,5 +1,7 @@
 """Tree updates, model hooks, stored indexes, reuse by identity: on small tables."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -46,6 +48,58 @@ def test_deep_thin_chains_dissolve_whole(spark):
     assert links(G.dissolved(chain)) == {1: None, 2: 1, 3: 2, 4: 3, 102: 2, 103: 3, 200: 4, **{100 + k: 4 for k in range(4, 60)}}
 
 
+def test_trees_dissolve_to_the_end_in_one_pass(spark, monkeypatch):
+    # aspects without facts in a tree of two children each: a level goes in each of six rounds
+    levels = tree(spark, [(1, None, None, 100), *[(k, k // 2, None, 10**6) for k in range(2, 128)], (500, 1, 5, 1)])
+    passes = []
+    monkeypatch.setattr(G, "hierarchy", lambda *a, h=G.hierarchy, **k: passes.append(1) or h(*a, **k))
+    assert links(G.dissolved(levels)) == {1: None, 500: 1}
+    assert len(passes) == 1
+
+
+def plainly_dissolved(rows):
+    """{id: parent} after rounds over rows of (id, parent, fact, support), one node at a time."""
+    parent, rest = {r[0]: r[1] for r in rows}, {r[0]: (r[2], r[3] or 0) for r in rows}
+
+    def depth(k):
+        n, seen = 0, {k}
+        while (k := parent[k]) in parent:
+            if k in seen:
+                return -1
+            seen.add(k)
+            n += 1
+        return n
+
+    def thin(k):
+        x = math.exp((depth(k) - 2) / 1.3)
+        return rest[k][1] < (round(x) if abs(x - round(x)) <= 0.1 else math.ceil(x))
+
+    while True:
+        kids = [p for p in parent.values() if p is not None]
+        gone = {k for k, p in parent.items() if rest[k][0] is None and depth(k) > 0 and (kids.count(k) <= 1 or (depth(p) > 0 and thin(k) and thin(p)))}
+        if not gone:
+            return parent
+        over = dict(parent)
+        for k in parent.keys() - gone:
+            while over[k] in gone:
+                over[k] = parent[over[k]]
+        parent = {k: over[k] for k in parent.keys() - gone}
+
+
+@pytest.mark.parametrize("cap", [G.TREE_CAP, 30, 0])  # all trees at once, the large ones by rounds, all by rounds
+def test_dissolving_is_the_same_for_trees_of_any_size(spark, cap):
+    rng, far = np.random.default_rng(7), 2**60  # ids that no float holds
+    rows = []
+    for k in range(240):
+        over = int(rng.integers(max(0, k - (4 if k < 120 else 100)), k)) if k % 40 else None  # deep trees, then wide ones
+        fact = k if rng.random() < 0.4 else None
+        rows.append((far + k, None if over is None else far + max(over, k - k % 40), fact, None if rng.random() < 0.1 else int(rng.integers(0, 12))))
+    rows += [(far + 300, far + 301, None, 1), (far + 301, far + 300, None, 1), (far + 302, far + 301, None, 1), (far + 303, 5, None, 1), (far + 304, far + 303, None, 1), (far + 305, far + 304, 9, 1)]
+    want = plainly_dissolved(rows)
+    assert 50 < len(want) < 220
+    assert links(G.dissolved(tree(spark, rows), cap=cap)) == want
+
+
 def test_debt_follows_the_nodes_own_support(spark):
     nodes = tree(spark, [(1, None, None, 100), (2, 1, None, 1), (3, 2, None, 1), (4, 3, None, 1), (5, 4, 50, 1)])
     debt = {r.id: r.debt for r in G.with_debt(nodes).collect()}
