@@ -34,6 +34,8 @@ PROJECTIONS, MATCHES, HALF_WINDOW = 24, 19, 2.0
 JOINED = 0.7
 #: Rows of one task's group; larger cells are compared block by block.
 CELL_CAP = 8192
+#: Pairs of a query and a row whose collisions are counted at once, so that the counts stay in the processor's cache.
+STEP = 1 << 16
 #: Rows of a block where all are compared with all, and blocks that one task goes over.
 BLOCK, BLOCKS_PER_TASK = 4096, 32
 #: How far a cosine of float32 may be off.
@@ -48,19 +50,26 @@ def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            m = np.array([np.nan_to_num(np.array(v, dtype=np.float64), nan=np.inf) for v in batch["v"]]).reshape(-1, DIMENSIONS)
+            m = np.concatenate(batch["v"].to_list()).astype(np.float64).reshape(-1, DIMENSIONS)
             ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
             raw, ids = m[ok], batch["id"].to_numpy()[ok]
             m = raw / np.abs(raw).max(axis=1, keepdims=True)
             unit = np.rint(m / np.linalg.norm(m, axis=1, keepdims=True) * 1e5).astype(np.int32)
-            yield pd.DataFrame({"id": ids, "cls": np.array([xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63 for u in unit], np.int64), "vec": _packed(raw)})
+            yield pd.DataFrame({"id": ids, "cls": np.array([xxhash.xxh3_64_intdigest(u) - 2**63 for u in _row_bytes(unit)], np.int64), "vec": _packed(raw)})
 
     return rows.mapInPandas(run, "id long, cls long, vec binary")
 
 
 def _packed(rows: np.ndarray) -> list[bytes]:
     """Each row of float32 as bytes, all first bytes, then all second ones and so on: vectors of few digits compress well that way."""
-    return [np.ascontiguousarray(r.view(np.uint8).reshape(-1, 4).T).tobytes() for r in rows.astype(np.float32)]
+    return _row_bytes(rows.astype(np.float32).view(np.uint8).reshape(-1, DIMENSIONS, 4).transpose(0, 2, 1))
+
+
+def _row_bytes(rows: np.ndarray) -> list[bytes]:
+    """The bytes of each row, cut out of those of all."""
+    all_bytes = rows.tobytes()
+    size = len(all_bytes) // max(1, len(rows))
+    return [all_bytes[lo : lo + size] for lo in range(0, len(all_bytes), size)] if size else []
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -99,23 +108,36 @@ class _Pivots:
     def nearest(self, unit: np.ndarray, n: int) -> np.ndarray:
         """For each row the n best pivots among the lists of its nearest GUIDES_OF_ROW guides; -1 where there are fewer."""
         near = self._best(unit @ self.guides.T, GUIDES_OF_ROW)
-        kept, cosine = np.full((len(unit), n), -1), np.full((len(unit), n), -2.0, np.float32)
-        for g, members in enumerate(self.lists):
-            rows = np.flatnonzero((near == g).any(axis=1))
-            if not len(rows) or not len(members):
+        by_guide = np.argsort(near, axis=None, kind="stable")
+        bounds = np.searchsorted(near.ravel()[by_guide], np.arange(len(self.guides) + 1))
+        found, value = np.full((*near.shape, n), -1), np.full((*near.shape, n), -2.0, np.float32)
+        for members, lo, hi in zip(self.lists, bounds, bounds[1:]):
+            if lo == hi or not len(members):
                 continue
+            rows, place = np.divmod(by_guide[lo:hi], near.shape[1])
             s = unit[rows] @ self.pivots[members].T
-            best = self._best(s, n)
-            found, value = members[best], np.take_along_axis(s, best, axis=1)
-            value[(found[:, :, None] == kept[rows][:, None, :]).any(axis=2)] = -3  # known from another list
-            found, value = np.concatenate([kept[rows], found], axis=1), np.concatenate([cosine[rows], value], axis=1)
-            top = self._best(value, n)
-            kept[rows], cosine[rows] = np.take_along_axis(found, top, axis=1), np.take_along_axis(value, top, axis=1)
+            for t, (best, cosine) in enumerate(_largest(s, min(n, len(members)))):
+                found[rows, place, t], value[rows, place, t] = members[best], cosine
+        found, value = found.reshape(len(unit), -1), value.reshape(len(unit), -1)
+        kept = np.full((len(unit), n), -1)
+        for t in range(n):
+            kept[:, t] = found[np.arange(len(unit)), value.argmax(axis=1)]
+            value[found == kept[:, t, None]] = -3  # a pivot may stand in several lists
+            found[value == -3] = -1
         return kept
 
 
+def _largest(s: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns and values of the largest of each row, then of the next, n times; s is used up."""
+    rows = np.arange(len(s))
+    for _ in range(n):
+        best = s.argmax(axis=1)
+        yield best, s[rows, best]
+        s[rows, best] = -3
+
+
 def _cells(classes: DataFrame, n: int) -> DataFrame:
-    """(cell, cls, vec): each class in the cells of its CELLS nearest pivots of each set."""
+    """(cell, cls, vec): each class in the cells of its CELLS nearest pivots of each set. Cells are found once and written, as they are read to be counted and to be searched."""
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
     # three times as many as needed are kept by hash, so that tasks do not each send a full sample to the driver
     share = min(1.0, 3 * per_set * PIVOT_SETS / n)
@@ -124,19 +146,16 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
     pivots = _matrix(sample["vec"]).astype(np.float32)
     sets = [pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]
     held = classes.sparkSession.sparkContext.broadcast([_Pivots(own) for own in sets])
+    columns = [f"_c{i}" for i in range(len(sets) * CELLS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 5000):
-                part = batch.iloc[lo : lo + 5000]
-                unit, out = _matrix(part["vec"]).astype(np.float32), []
-                for k, own in enumerate(held.value):
-                    for best in own.nearest(unit, CELLS).T:
-                        ok = best >= 0
-                        out.append(pd.DataFrame({"cell": own.label[best[ok]] * PIVOT_SETS + k, "cls": part["cls"].to_numpy()[ok], "vec": part["vec"].to_numpy()[ok]}))
-                yield pd.concat(out, ignore_index=True).drop_duplicates(["cell", "cls"])
+            unit = _matrix(batch["vec"]).astype(np.float32)
+            near = [np.where(best >= 0, own.label[best] * PIVOT_SETS + k, -1) for k, own in enumerate(held.value) for best in own.nearest(unit, CELLS).T]
+            yield batch.assign(**dict(zip(columns, near)))
 
-    return classes.select("cls", "vec").mapInPandas(run, "cell long, cls long, vec binary")
+    found = checkpointed(classes.select("cls", "vec").mapInPandas(run, f"cls long, vec binary, {', '.join(f'{c} long' for c in columns)}"))
+    return found.select(F.explode(F.array_distinct(F.array(*columns))).alias("cell"), "cls", "vec").filter("cell >= 0")
 
 
 def _k_best(k: int, row: np.ndarray, other: np.ndarray, cosine: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -178,21 +197,25 @@ class _SortedArrays:
     """The rows of one cell in PROJECTIONS sorted arrays, one for each random direction; windows around a query are cut out of each."""
 
     def __init__(self, unit: np.ndarray) -> None:
-        self.at = unit @ _directions()
-        order = np.argsort(self.at, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(self.at, order, axis=0).T)
-        rank = np.empty((PROJECTIONS, len(unit)), np.uint16)  # a group has at most 2 * CELL_CAP rows
-        np.put_along_axis(rank, order.T, np.arange(len(unit), dtype=np.uint16)[None], axis=1)
-        self.rank = rank
-
-    def colliding(self, queries: np.ndarray, radius: float) -> np.ndarray:
-        """For each query (a row's index) which rows lie in its windows of HALF_WINDOW * radius to each side in at least MATCHES of the arrays."""
-        count = np.zeros((len(queries), self.rank.shape[1]), np.uint8)
-        for t in range(PROJECTIONS):
-            h = self.at[queries, t]
-            first = self.sorted[t].searchsorted(h - HALF_WINDOW * radius).astype(np.uint16)
-            width = self.sorted[t].searchsorted(h + HALF_WINDOW * radius, side="right").astype(np.uint16) - first
-            count += (self.rank[t][None] - first[:, None]) < width[:, None]  # unsigned: what is before the window is far behind it
+        at = (unit @ _directions()).T
+        order = np.argsort(at, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(at, order, axis=1)
+        self.rank = np.empty(at.shape, np.uint16)  # a group has at most 2 * CELL_CAP rows
+        np.put_along_axis(self.rank, order, np.arange(len(unit), dtype=np.uint16)[None], axis=1)
+
+    def windows(self, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each array and row: first place and number of places of its window of HALF_WINDOW * radius to each side. The edges are looked up in sorted order."""
+        first = np.array([x.searchsorted(x - HALF_WINDOW * radius) for x in self.sorted], np.uint16)
+        end = np.array([x.searchsorted(x + HALF_WINDOW * radius, side="right") for x in self.sorted], np.uint16)
+        return tuple(np.take_along_axis(x, self.rank, axis=1) for x in (first, end - first))
+
+    def colliding(self, queries: np.ndarray, windows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each query (a row's index) which rows lie in its windows in at least MATCHES of the arrays."""
+        shape = len(queries), self.rank.shape[1]
+        count, place, inside = np.zeros(shape, np.uint8), np.empty(shape, np.uint16), np.empty(shape, bool)
+        for rank, first, width in zip(self.rank, windows[0][:, queries, None], windows[1][:, queries, None]):
+            np.less(np.subtract(rank, first, out=place), width, out=inside)  # unsigned: what is before the window is far behind it
+            np.add(count, inside.view(np.uint8), out=count)
         return count >= MATCHES
 
 
@@ -203,17 +226,20 @@ def _by_collisions(unit: np.ndarray, kind: np.ndarray, k: int, min_cosine: float
     verified, which no row outside of it can beat.
     """
     arrays, small = _SortedArrays(unit), unit.astype(np.float32)
+    kind = np.unique(kind, return_inverse=True)[1].astype(np.uint16)
     widest = math.sqrt(max(0.0, 2 - 2 * min_cosine))
-    found = []
-    step = max(1, (1 << 18) // len(unit))
-    for lo in range(0, len(unit), step):
-        queries = np.arange(lo, min(lo + step, len(unit)))
-        for radius in (widest / 2, widest):
-            hit = arrays.colliding(queries, radius) & (kind[queries][:, None] != kind[None])
-            if 32 * np.count_nonzero(hit) > hit.size:  # a crowd: the same cosines by one product
+    found, pending = [], np.arange(len(unit))
+    step = max(16, STEP // len(unit))
+    for radius in (widest / 2, widest):
+        windows, undone = arrays.windows(radius), [np.empty(0, np.int64)]
+        for queries in np.split(pending, range(step, len(pending), step)):
+            hit = arrays.colliding(queries, windows)
+            hit &= kind[queries][:, None] != kind
+            at = np.flatnonzero(hit)
+            if 32 * len(at) > hit.size:  # a crowd: the same cosines by one product
                 i, j, cosine = _nearest(unit[queries], unit, k, np.full(len(queries), min_cosine - 1e-9), lambda part, hit=hit: ~hit[part])
             else:
-                i, j = np.nonzero(hit)
+                i, j = np.divmod(at, len(unit))
                 cosine = np.einsum("ij,ij->i", small[queries[i]], small[j])
                 ok = cosine >= min_cosine - 1e-9 - _FLOAT32
                 i, j = i[ok], j[ok]
@@ -223,9 +249,10 @@ def _by_collisions(unit: np.ndarray, kind: np.ndarray, k: int, min_cosine: float
             done = np.bincount(i[cosine >= 1 - radius * radius / 2], minlength=len(queries)) >= k
             final = done[i] | (radius == widest)
             found.append((queries[i[final]], j[final], cosine[final]))
-            queries = queries[~done]
-            if not len(queries):
-                break
+            undone.append(queries[~done])
+        pending = np.concatenate(undone)
+        if not len(pending):
+            break
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

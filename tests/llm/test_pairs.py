@@ -185,6 +185,49 @@ def test_neighbours_in_a_dense_third(spark, monkeypatch, cap):
     assert len(expected) == 10000 and len(got & expected) >= 0.999 * len(expected)
 
 
+def test_cells_are_found_once(spark):
+    m = np.float32(np.random.default_rng(8).normal(size=(3000, 64)))
+    classes = neighbours.usable(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, e array<float>"), "id", "e")
+    cells = neighbours._cells(classes, 3000)
+    assert "MapInPandas" not in cells._jdf.queryExecution().toString()  # counting the cells and searching them read a table
+    rows = cells.select("cell", "cls").collect()
+    assert len(set(rows)) == len(rows) and {c for _, c in rows} == {r.cls for r in classes.collect()}
+
+
+def test_best_pivots_of_the_lists_that_are_looked_at():
+    rng = np.random.default_rng(9)
+    for count in (1, 2, 5, 400):
+        pivots, unit = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in np.float32(rng.normal(size=(2, max(count, 300), 64))))
+        own = neighbours._Pivots(pivots[:count])
+        near = np.argsort(-(unit @ own.guides.T), axis=1)[:, : neighbours.GUIDES_OF_ROW]
+        for row, guides, got in zip(unit, near, own.nearest(unit, 2)):
+            seen = np.unique(np.concatenate([own.lists[g] for g in guides]))
+            best = seen[np.argsort(-(pivots[seen] @ row))][:2]
+            assert got.tolist() == [*best.tolist(), -1, -1][:2]
+
+
+@pytest.mark.parametrize("blocks", [None, 2])
+def test_collisions_against_a_plain_count(monkeypatch, blocks):
+    monkeypatch.setattr(neighbours, "STEP", 5000)
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(120, 64))
+    m = np.concatenate([m, *(m[i : i + 1] + rng.normal(size=(i % 9, 64)) * rng.uniform(0.02, 0.45) for i in range(60))])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    kind = np.arange(len(m)) if blocks is None else rng.integers(0, blocks, len(m)) * 7
+    width = neighbours.HALF_WINDOW * np.sqrt(0.2)
+    met = (np.abs((m @ neighbours._directions())[:, None] - (m @ neighbours._directions())[None]) <= width).sum(axis=2) >= neighbours.MATCHES
+    s = (m @ m.T).round(12)
+    expected = [set(sorted(np.flatnonzero(met[i] & (kind != kind[i]) & (s[i] >= 0.9)), key=lambda j: (-s[i, j], j))[:5]) for i in range(len(m))]
+    i, j, _ = neighbours._k_best(5, *neighbours._by_collisions(m, kind, 5, 0.9))
+    assert [set(j[i == x]) for x in range(len(m))] == expected and len(i) > 300
+
+
+def test_vectors_with_null_elements_take_no_part(spark):
+    rows = [(1, [1.0] * 64), (2, [None] + [1.0] * 63), (3, [float("inf")] + [1.0] * 63), (4, [2.0] * 64), (5, None), (6, [1.0] * 63)]
+    got = neighbours.usable(spark.createDataFrame(rows, "id long, e array<float>"), "id", "e").collect()
+    assert {r.id for r in got} == {1, 4} and len({r.cls for r in got}) == 1 and {len(r.vec) for r in got} == {256}
+
+
 def test_no_vectors(spark):
     assert neighbours.neighbours(spark.createDataFrame([(1, None)], "id long, e array<float>"), "id", "e").collect() == []
 
