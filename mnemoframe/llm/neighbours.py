@@ -141,8 +141,10 @@ def _cells(classes: DataFrame, n: int) -> DataFrame:
     per_set = int(min(MOST_PIVOTS, max(1, n // ROWS_PER_PIVOT)))
     # three times as many as needed are kept by hash, so that tasks do not each send a full sample to the driver
     share = min(1.0, 3 * per_set * PIVOT_SETS / n)
-    hashed = classes.select("vec", F.xxhash64("cls").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    sample = hashed.orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
+    hashed = classes.select("vec", F.xxhash64("cls").alias("h"))
+    sample = hashed.filter(F.pmod("h", F.lit(1_000_000)) < math.ceil(share * 1_000_000)).orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
+    if len(sample) < min(n, per_set * PIVOT_SETS):  # of a few rows none may have such a hash
+        sample = hashed.orderBy("h").limit(per_set * PIVOT_SETS).toPandas()
     pivots = _matrix(sample["vec"]).astype(np.float32)
     sets = [pivots[k::PIVOT_SETS][: max(1, len(pivots) // PIVOT_SETS)] for k in range(min(PIVOT_SETS, len(pivots)))]
     held = classes.sparkSession.sparkContext.broadcast([_Pivots(own) for own in sets])

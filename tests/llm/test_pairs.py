@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoframe.llm import names, nearduplicates, neighbours
 from mnemoframe.llm.words import words
@@ -194,6 +195,13 @@ def test_cells_are_found_once(spark):
     assert len(set(rows)) == len(rows) and {c for _, c in rows} == {r.cls for r in classes.collect()}
 
 
+def test_pivots_where_no_row_has_a_low_hash(spark):
+    unlucky = spark.range(1000).filter("pmod(xxhash64(id), 1000000) > 500000").limit(140).select(F.col("id").alias("cls"))
+    vectors = {r.cls: v for r, v in zip(unlucky.collect(), np.float32(np.random.default_rng(11).normal(size=(140, 64))))}
+    classes = spark.createDataFrame([(c, neighbours._packed(v[None])[0]) for c, v in vectors.items()], "cls long, vec binary")
+    assert {(r.cell, r.cls) for r in neighbours._cells(classes, 140).collect()} == {(k, c) for k in range(2) for c in vectors}
+
+
 def test_best_pivots_of_the_lists_that_are_looked_at():
     rng = np.random.default_rng(9)
     for count in (1, 2, 5, 400):
